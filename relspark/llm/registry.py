@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from relspark.llm import quality_rules
+from relspark.llm import chat_rotation, decontamination, mixing, near_dedup, quality_rules, secrets
 
 QUERIES = {
+    "op2_decontamination": decontamination.query,
+    "op5_secret_scan": secrets.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_chat_rotation": chat_rotation.query,
+    "op8_near_dedup": near_dedup.query,
+    "op10_mix_sources": mixing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": decontamination.ORACLE,
+    "op7_chat_rotation": chat_rotation.ORACLE,
+    "op8_near_dedup": near_dedup.ORACLE,
+    "op10_mix_sources": mixing.ORACLE,
+}

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
 SLICE = 2 << 20
@@ -75,7 +76,7 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column; nulls are empty."""
     col = col.cast(pa.large_binary()) if not pa.types.is_large_binary(col.type) else col
     if col.null_count:
-        col = pa.array([x if x is not None else b"" for x in col.to_pylist()], pa.large_binary())
+        col = pc.fill_null(col, b"")
     bufs = col.buffers()
     offsets = np.frombuffer(bufs[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
     data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None and bufs[2].size else np.empty(0, np.uint8)
@@ -129,7 +130,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 * SLIC
         col = batch.column(batch.schema.get_field_index(column))
         if not len(col):
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64)
         group = np.cumsum(sizes) // limit
         cuts = np.flatnonzero(np.diff(group)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(col)], strict=True):
