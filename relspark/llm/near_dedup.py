@@ -12,9 +12,13 @@ class (exact copies), and classes are joined:
   that may be wrong.  So all pairs within the distance share a key.
 * Stars: each class is compared with the first and last member of its buckets
   on full sets, which joins a group of copies by as many links as it has members.
-* Rest: buckets that still hold several components are compared member by
-  member, in blocks of ``BLOCK``, and pairs of different components within the
-  signature distance are confirmed on full sets.  Nothing is capped.
+* Homes: a class's home is the smallest class that its buckets, and theirs, lead
+  to.  Homes that still hold several components are compared on full sets
+  inside blocks of members; only links that join components leave a block.
+* Rest: buckets that still hold several components and homes are compared member
+  by member, in blocks of ``BLOCK``; pairs of different components and homes
+  within the signature distance, each in the first bucket that it shares, are
+  confirmed on full sets.  Nothing is capped.
 
 Components come from repeated minimum labels with pointer jumps, each round
 written to the shared folder.
@@ -38,6 +42,8 @@ from relspark.llm.textops import WORDS_BY_SPACE, hashed_words, mix, slices
 
 HASHES, MAX_ERRORS, CHUNKS = 64, 25, 13
 BLOCK = 256
+#: Shingles of a block of full sets.
+BLOCK_ITEMS = 2_000_000
 #: Id tables up to this many rows (8 bytes each) are broadcast, larger ones shuffled.
 MAX_BROADCAST_ROWS = 1_000_000
 #: Stand-ins for null ids lie above all real ones.
@@ -116,8 +122,8 @@ def _features(size: int):
                 for (i, x), s in zip(found, rows, strict=True):
                     count[i], cls[i], sig[i] = len(x), _fingerprint(x), s.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(count), pa.array(cls, mask=count == 0), pa.array(sig, pa.binary())],
-                ["doc_id", "id", "n_shingles", "c", "sig"],
+                [part.column(0), part.column(1), part.column(3), pa.array(count), pa.array(cls, mask=count == 0), pa.array(sig, pa.binary())],
+                ["doc_id", "id", "row_key", "n_shingles", "c", "sig"],
             )
 
     return run
@@ -138,7 +144,8 @@ def _keyed(batches):
             part = batch.slice(lo, 2048)
             sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, HASHES)
             keys = index_keys(sigs)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0), np.int64), HASHES))], ["key", "c"])
+            slots = np.tile(np.arange(HASHES, dtype=np.int32), len(sigs))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0), np.int64), HASHES)), pa.array(slots)], ["key", "c", "slot"])
 
 
 def _confirm(percent: int):
@@ -163,51 +170,109 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(batches):
-    """Sorted rows (key, bi, bj, c, lab, sig): pairs of different labels within the signature distance."""
-
-    def pairs(rows):
-        c, lab, side = (np.asarray(rows.column(k)) for k in ("c", "lab", "block"))
-        bi, bj = rows.column("bi")[0].as_py(), rows.column("bj")[0].as_py()
-        sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-        left, right = np.flatnonzero(side == bi), np.flatnonzero(side == bj)
-        for lo in range(0, len(left), 64):
-            part = left[lo : lo + 64]
-            near = (sigs[part, None, :] != sigs[None, right, :]).sum(axis=2) <= MAX_ERRORS
-            i, j = np.nonzero(near & (lab[part, None] != lab[None, right]))
-            x, y = c[part[i]], c[right[j]]
-            yield np.minimum(x, y), np.maximum(x, y)
-
-    def out(rows):
-        for x, y in pairs(rows):
-            if len(x):
-                u = np.unique(np.stack([x, y], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["x", "y"])
-
+def _groups(batches, marks: tuple[str, ...]):
+    """Tables of the rows that agree in ``marks``, from batches sorted by them."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
         if not table.num_rows:
             continue
-        marks = np.stack([np.asarray(table.column(k)) for k in ("key", "bi", "bj")], 1)
-        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1), table.num_rows]
+        at = np.stack([np.asarray(table.column(k)) for k in marks], 1)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), table.num_rows]
         for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield from out(table.slice(lo, hi - lo))
+            yield table.slice(lo, hi - lo)
         held = table.slice(cuts[-2])
     if held is not None and held.num_rows:
-        yield from out(held)
+        yield held
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    side = np.asarray(rows.column("block"))
+    return np.flatnonzero(side == rows.column("bi")[0].as_py()), np.flatnonzero(side == rows.column("bj")[0].as_py())
+
+
+def first_slots(same: np.ndarray) -> np.ndarray:
+    """The first index slot that each pair shares, from the equal places of their signatures (pairs, ``HASHES``)."""
+    out = np.full(len(same), -1)
+    for c in range(CHUNKS - 1, -1, -1):
+        lo, hi = _BOUNDS[c], _BOUNDS[c + 1]
+        wrong = ~same[:, lo:hi]
+        n = wrong.sum(axis=1)
+        out = np.where(n == 0, lo, np.where(n == 1, lo + wrong.argmax(axis=1), out))
+    return out
+
+
+def _block_pairs(batches):
+    """Of sorted rows (key, bi, bj): pairs of different labels and homes within the signature distance, in their first slot."""
+    for rows in _groups(batches, ("key", "bi", "bj")):
+        c, lab, home = (np.asarray(rows.column(k)) for k in ("c", "lab", "home"))
+        slot = rows.column("slot")[0].as_py()
+        sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+        left, right = _sides(rows)
+        for lo in range(0, len(left), 64):
+            part = left[lo : lo + 64]
+            i, j = np.nonzero((lab[part, None] != lab[None, right]) & (home[part, None] != home[None, right]))
+            i, j = part[i], right[j]
+            same = sigs[i] == sigs[j]
+            use = (HASHES - same.sum(axis=1) <= MAX_ERRORS) & (first_slots(same) == slot)
+            if use.any():
+                x, y = c[i[use]], c[j[use]]
+                u = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], ["x", "y"])
+
+
+def _block_links(percent: int):
+    """Of sorted rows (home, bi, bj) with full sets: links between components, no more than join them."""
+
+    def find(parent, i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def run(batches):
+        for rows in _groups(batches, ("home", "bi", "bj")):
+            c, lab = np.asarray(rows.column("c")), np.asarray(rows.column("lab"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("items")]
+            left, right = _sides(rows)
+            size = np.array([len(x) for x in sets])
+            starts = np.concatenate([[0], np.cumsum(size[right])[:-1]])
+            names, at = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+            _, parent = np.unique(lab, return_inverse=True)
+            parent, label = list(range(int(parent.max()) + 1)), parent
+            mark, x, y = np.zeros(len(names), np.int32), [], []
+            for i in left:
+                k = np.searchsorted(names, sets[i])
+                k = k[(k < len(names)) & (names[np.minimum(k, len(names) - 1)] == sets[i])]
+                mark[k] = 1
+                both = np.add.reduceat(mark[at], starts)
+                mark[k] = 0
+                for j in right[100 * both >= percent * (size[right] + size[i] - both)]:
+                    a, b = find(parent, label[i]), find(parent, label[j])
+                    if a != b:
+                        parent[a] = b
+                        x.append(c[i])
+                        y.append(c[j])
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
+
+    return run
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-def confirm_pairs(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of classes whose full sets are similar enough."""
-    need = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+def class_sets(docs: DataFrame, need: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(c, items): the full sets of the classes in ``need``, from the texts of their representatives."""
     ids = materialize(need.join(reps.select("c", "rep"), "c").select(F.col("rep").alias("id")).distinct(), "near-ids")
     texts = docs.join(_small(ids, ids.count()), "id", "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(_class_sets(size), "c long, items binary").dropDuplicates(["c"]), "near-sets")
+    return materialize(texts.mapInArrow(_class_sets(size), "c long, items binary").dropDuplicates(["c"]), "near-sets")
+
+
+def confirm_pairs(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (x, y) of classes whose full sets are similar enough."""
+    sets = class_sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct(), reps, size)
     rows = pairs.join(sets.select(F.col("c").alias("x"), F.col("items").alias("a")), "x")
     rows = rows.join(sets.select(F.col("c").alias("y"), F.col("items").alias("b")), "y")
     links = materialize(rows.select("x", "y", "a", "b").mapInArrow(_confirm(percent), "x long, y long"), "near-links")
@@ -215,6 +280,27 @@ def confirm_pairs(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int,
     return links
 
 
+def _blocks(rows: DataFrame, group: str, count: str) -> DataFrame:
+    """Rows once for each pair of blocks (bi, bj) of their group that theirs is in; blocks come from hashes."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("c"), F.col(count)))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
+    return rows.withColumn("bi", F.least("block", "o")).withColumn("bj", F.greatest("block", "o")).drop("o", count)
+
+
+def home_links(docs: DataFrame, homes: DataFrame, labels: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that join the components of one home."""
+    rows = materialize(homes.join(labels, "c", "left").join(classes.select("c", "rep", "n"), "c").select("home", "c", "n", F.coalesce("lab", "rep").alias("lab")), "near-homed")
+    mixed = rows.groupBy("home").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("l0 <> l1")
+    mixed = materialize(mixed.select("home", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_ITEMS)).alias("blocks")), "near-mixed")
+    rows = materialize(rows.select("home", "c", "lab").join(mixed, "home"), "near-homed")
+    sets = class_sets(docs, rows.select("c").distinct(), classes, size)
+    spread = materialize(_blocks(rows, "home", "blocks"), "near-spread").join(sets, "c")
+    spread = spread.repartition("home", "bi", "bj").sortWithinPartitions("home", "bi", "bj")
+    links = materialize(spread.mapInArrow(_block_links(percent), "x long, y long"), "near-links")
+    drop_scratch(sets)
+    return links
+
+
 def min_labels(links: DataFrame, reps: DataFrame) -> DataFrame:
     """(c, rep, lab) for the classes in links: lab is the smallest rep of the component."""
     both = materialize(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "near-edges")
@@ -235,40 +321,46 @@ def min_labels(links: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, id (doc_id or its stand-in), n_shingles, component_id, kept."""
+    """Per row: doc_id, id (doc_id or its stand-in), row_key (xxhash64 of id and text), n_shingles, component_id, kept."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.expr(f"(xxhash64(text) & {NO_ID - 1}) + {NO_ID}")).alias("id"), "text")
-    feats = materialize(docs.mapInArrow(_features(shingle), "doc_id long, id long, n_shingles long, c long, sig binary"), "near-features")
-    classes = materialize(feats.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "near-classes")
-    keyed = classes.select("c", "sig").mapInArrow(_keyed, "key long, c long")
-    shared = keyed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.expr(f"(xxhash64(text) & {NO_ID - 1}) + {NO_ID}")).alias("id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    feats = materialize(docs.mapInArrow(_features(shingle), "doc_id long, id long, row_key long, n_shingles long, c long, sig binary"), "near-features")
+    classes = feats.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = materialize(classes, "near-classes")
+    keyed = classes.select("c", "sig").mapInArrow(_keyed, "key long, c long, slot int")
+    shared = keyed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
     members = materialize(keyed.join(materialize(shared, "near-shared"), "key"), "near-members")
     stars = members.select("c", F.explode(F.array("lo", "hi")).alias("o")).where("c <> o")
     stars = materialize(stars.select(F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y")).distinct(), "near-stars")
     links = confirm_pairs(docs, stars, classes, shingle, percent)
-    labels = min_labels(links, classes)
-    # What is left: buckets with members of several components.
-    marked = members.select("key", "c", "n").join(labels.select("c", F.col("lab").alias("known")), "c", "left").join(classes, "c")
-    marked = materialize(marked.select("key", "c", "n", F.coalesce("known", "rep").alias("lab")), "near-marked")
-    mixed = materialize(marked.groupBy("key").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1").select("key"), "near-mixed")
-    # Block numbers come from hashes: a bucket of n members has n / BLOCK blocks, and each block meets each other one once.
-    left = marked.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
-    left = left.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.select("key", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "c", "lab", "block").join(classes.select("c", "sig"), "c")
-    left = left.select("key", "bi", "bj", "c", "lab", "block", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    labels = min_labels(links, classes).select("c", "lab")
+    # Homes: the smallest class of a class's buckets, and once more the smallest home of its buckets' members.
+    home = materialize(members.groupBy("c").agg(F.min("lo").alias("home")), "near-home")
+    near = materialize(members.select("key", "c").join(home, "c").groupBy("key").agg(F.min("home").alias("home")), "near-home")
+    home = materialize(members.select("key", "c").join(near, "key").groupBy("c").agg(F.min("home").alias("home")), "near-home")
+    more = home_links(docs, home, labels, classes, shingle, percent)
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        labels = min_labels(links, classes).select("c", "lab")
+    # What is left: buckets with members of several components and homes.
+    marked = members.select("key", "slot", "c", "m").join(labels.withColumnRenamed("lab", "known"), "c", "left").join(classes.select("c", "rep"), "c").join(home, "c")
+    marked = materialize(marked.select("key", "slot", "c", "m", "home", F.coalesce("known", "rep").alias("lab")), "near-marked")
+    mixed = marked.groupBy("key").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1"), F.min("home").alias("h0"), F.max("home").alias("h1"))
+    mixed = materialize(mixed.where("l0 <> l1 AND h0 <> h1").select("key"), "near-mixed")
+    left = _blocks(marked.join(mixed, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK)), "key", "blocks")
+    left = left.join(classes.select("c", "sig"), "c").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     pairs = left.mapInArrow(_block_pairs, "x long, y long").distinct()
     pairs = materialize(pairs.join(stars, ["x", "y"], "left_anti"), "near-rest")
     if pairs.limit(1).count():
-        more = confirm_pairs(docs, pairs, classes, shingle, percent)
-        links = links.unionByName(more)
-        labels = min_labels(links, classes)
+        links = links.unionByName(confirm_pairs(docs, pairs, classes, shingle, percent))
+        labels = min_labels(links, classes).select("c", "lab")
     names = materialize(classes.select("c", "rep").join(labels.select("c", "lab"), "c", "left").select("c", F.coalesce("lab", "rep").alias("lab")), "near-names")
     for x in (members, marked, stars, mixed):
         drop_scratch(x)
-    empty = feats.where("c IS NULL").select("doc_id", "id", "n_shingles", F.col("id").alias("lab"))
-    full = feats.where("c IS NOT NULL").join(names, "c").select("doc_id", "id", "n_shingles", "lab")
+    empty = feats.where("c IS NULL").select("doc_id", "id", "row_key", "n_shingles", F.col("id").alias("lab"))
+    full = feats.where("c IS NOT NULL").join(names, "c").select("doc_id", "id", "row_key", "n_shingles", "lab")
     out = full.unionByName(empty)
-    return out.select("doc_id", "id", "n_shingles", F.when(F.col("lab") < NO_ID, F.col("lab")).alias("component_id"), (F.col("lab") == F.col("id")).alias("kept"))
+    return out.select("doc_id", "id", "row_key", "n_shingles", F.when(F.col("lab") < NO_ID, F.col("lab")).alias("component_id"), (F.col("lab") == F.col("id")).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
