@@ -72,6 +72,7 @@ class Delta:
         self.inserts: dict[str, list] = {}
         self.deletes: dict[str, list] = {}
         self.frames: dict[str, list[DataFrame]] = {}
+        self.gone: dict[str, list[DataFrame]] = {}
 
     def _facts(self, name, facts):
         r = self.store.schema[name]
@@ -90,6 +91,10 @@ class Delta:
             self.inserts.setdefault(name, {})[f] = None
 
     def delete(self, name: str, facts) -> None:
+        if isinstance(facts, DataFrame):
+            self._facts(name, [])
+            self.gone.setdefault(name, []).append(facts)
+            return
         for f in self._facts(name, facts):
             self.inserts.get(name, {}) and self.inserts[name].pop(f, None)
             self.deletes.setdefault(name, {})[f] = None
@@ -116,6 +121,10 @@ class Delta:
         for name, facts in self.deletes.items():
             if facts:
                 dels[name] = facts_frame(spark, self.store.schema[name], map(dict, facts))
+        for name, frames in self.gone.items():
+            r = self.store.schema[name]
+            for f in frames:
+                dels[name] = conform(f, r) if name not in dels else dels[name].unionByName(conform(f, r)).distinct()
         return ins, dels
 
 
