@@ -19,21 +19,33 @@ from relspark.types import Interval, fits, ray_end, spark_type, to_physical
 
 
 class Instance:
-    """A state: one DataFrame a relation, as a set.  ``counts`` (optional) helps to order joins."""
+    """A state: one DataFrame a relation.
 
-    def __init__(self, spark: SparkSession, schema: Schema, frames: dict[str, DataFrame], counts: dict[str, int] | None = None, distinct: bool = True, generation: int = 0):
+    Relations are sets.  Frames named in ``sets`` (all if None) hold no row
+    twice; of others repeats are dropped where they would show, in bindings and
+    scans, rather than by a shuffle of every relation that a query reads.
+    ``counts`` (optional) helps to order joins.
+    """
+
+    def __init__(self, spark: SparkSession, schema: Schema, frames: dict[str, DataFrame], counts: dict[str, int] | None = None, sets: set[str] | None = frozenset(), generation: int = 0):
         self.spark, self.schema, self.counts, self.generation = spark, schema, counts or {}, generation
         self.id = uuid.uuid4().hex
+        self.loose = set() if sets is None else {r.name for r in schema.relations if not r.closed} - set(sets)
         self.frames: dict[str, DataFrame] = {}
         for r in schema.relations:
             if r.closed:
                 self.frames[r.name] = F.broadcast(closed_frame(spark, r))  # at most 256 rows
             else:
-                self.frames[r.name] = conform(frames[r.name], r, distinct) if r.name in frames else spark.createDataFrame([], r.struct())
+                self.frames[r.name] = conform(frames[r.name], r) if r.name in frames else spark.createDataFrame([], r.struct())
 
     def scan(self, name: str) -> DataFrame:
         self.schema[name]
-        return self.frames[name]
+        return self.frames[name].distinct() if name in self.loose else self.frames[name]
+
+    @property
+    def facts(self) -> dict[str, DataFrame]:
+        """Every relation as a set."""
+        return {r.name: self.scan(r.name) for r in self.schema.relations}
 
     def count(self, name: str) -> int:
         return self.scan(name).count()
@@ -108,7 +120,7 @@ class Prepared:
         if at.schema is not self.instance.schema:
             raise BindError("ForeignPreparedQuery")
         t = self.typed
-        rc = RuleCompiler(at.schema, dict(at.frames), t.tables, self.bind(params), self.options, at.counts)
+        rc = RuleCompiler(at.schema, dict(at.frames), t.tables, self.bind(params), self.options, at.counts, at.loose)
         trim = collapse if self.options.collapse_rules else list
         for i in t.query.interiors:
             rc.frames[i.name] = evaluate(rc, trim(t.interiors[i.name]), t.tables[i.name])
@@ -180,8 +192,8 @@ def facts_frame(spark: SparkSession, r, facts) -> DataFrame:
     return spark.createDataFrame(rows, r.struct())
 
 
-def conform(df: DataFrame, r, distinct: bool = True) -> DataFrame:
-    """The relation's columns in its types, as a set; a fixed-width interval may come with its start alone."""
+def conform(df: DataFrame, r) -> DataFrame:
+    """The relation's columns in its types; a fixed-width interval may come with its start alone."""
     cols = []
     for f in r.fields:
         if isinstance(f.type, Interval):
@@ -191,8 +203,7 @@ def conform(df: DataFrame, r, distinct: bool = True) -> DataFrame:
             cols += [start.alias(f"{f.name}_start"), end.cast(kind).alias(f"{f.name}_end")]
         else:
             cols.append(F.col(f.name).cast(spark_type(f.type)).alias(f.name))
-    df = df.select(*cols)
-    return df.distinct() if distinct else df
+    return df.select(*cols)
 
 
 __all__ = ["Instance", "Prepared", "closed_frame", "conform", "facts_frame"]

@@ -40,9 +40,9 @@ def _ends(name, t, fixed=False):
 class RuleCompiler:
     """Compiles rules over frames: relation columns by field name, derived columns ``c0``, ``c1``, ... (``_start``/``_end`` for intervals)."""
 
-    def __init__(self, schema, frames: dict[str, DataFrame], tables: dict[str, list], bound: Bound, options: Options, counts: dict[str, int] | None = None):
+    def __init__(self, schema, frames: dict[str, DataFrame], tables: dict[str, list], bound: Bound, options: Options, counts: dict[str, int] | None = None, loose: set[str] = frozenset()):
         self.schema, self.frames, self.tables, self.bound, self.options = schema, frames, tables, bound, options
-        self.counts = counts or {}
+        self.counts, self.loose = counts or {}, loose
         self.applied: list[str] = []
         self.probes: list[DataFrame] = []
 
@@ -238,7 +238,7 @@ class RuleCompiler:
             pred = self.condition(c, types)
             self.probes.append(df.where(pred.isNull()))
             df = df.where(pred)
-        if o.skip_distinct and distinct_proven(r, self.schema):
+        if o.skip_distinct and distinct_proven(r, self.schema, self.loose):
             self.applied.append("distinct skipped")
             return df
         aggregated = any(isinstance(f, Agg) for f in rule.finds)

@@ -174,7 +174,7 @@ add_read("relation_count", lambda spark, d: load(spark, d).scan("Line").agg(F.co
 def _judge(kinds):
     def run(spark, sf_dir):
         at = load(spark, sf_dir, JUDGED)
-        out = violations(at.frames, JUDGED, keys_first=False)
+        out = violations(at.facts, JUDGED, keys_first=False)
         picked = [i for i, s in enumerate(JUDGED.statements) if kinds(s)]
         return out.where(F.col("statement").isin(picked)).groupBy("relation", "direction").agg(F.count(F.lit(1)).alias("n"))
 
@@ -204,7 +204,7 @@ def _coverage(spark, sf_dir):
 
     at = load(spark, sf_dir)
     r = at.schema["Shipment"]
-    ships = at.frames["Shipment"]
+    ships = at.scan("Shipment")
     target = ships.where("line <= 3")
     return uncovered(ships.where("line > 3"), r, target, r, Contained(side("Shipment", "part", "during"), side("Shipment", "part", "during")))
 
@@ -216,7 +216,7 @@ WHERE x.line > 3 AND NOT EXISTS (SELECT 1 FROM ({_islands("part", "SELECT DISTIN
 def _change(spark, sf_dir):
     """Deleting the customers of nation 3 orphans their orders: judged by the change alone."""
     at = load(spark, sf_dir)
-    out = change_violations(at.frames, {}, {"Customer": at.frames["Customer"].where("nation = 3")}, at.schema)
+    out = change_violations(at.facts, {}, {"Customer": at.frames["Customer"].where("nation = 3")}, at.schema)
     return out.groupBy("relation", "direction").agg(F.count(F.lit(1)).alias("n"))
 
 

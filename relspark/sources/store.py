@@ -117,14 +117,14 @@ class Delta:
         for name, frames in self.frames.items():
             r = self.store.schema[name]
             for f in frames:
-                ins[name] = conform(f, r) if name not in ins else ins[name].unionByName(conform(f, r)).distinct()
+                ins[name] = conform(f, r).distinct() if name not in ins else ins[name].unionByName(conform(f, r)).distinct()
         for name, facts in self.deletes.items():
             if facts:
                 dels[name] = facts_frame(spark, self.store.schema[name], map(dict, facts))
         for name, frames in self.gone.items():
             r = self.store.schema[name]
             for f in frames:
-                dels[name] = conform(f, r) if name not in dels else dels[name].unionByName(conform(f, r)).distinct()
+                dels[name] = conform(f, r).distinct() if name not in dels else dels[name].unionByName(conform(f, r)).distinct()
         return ins, dels
 
 
@@ -141,12 +141,12 @@ class Store:
         meta = {"format": FORMAT, "fingerprint": schema.fingerprint(), "schema": schema.to_json(), "generation": 0, "folders": {}, "next": {}}
         store = Store(spark, root, schema, meta)
         if instance is not None:
-            found = violations(instance.frames, schema)
+            found = violations(instance.facts, schema)
             if not found.isEmpty():
                 raise StoreError("NotAdmitted", root, violations=[r.asDict() for r in found.limit(100).collect()])
             for r in schema.relations:
                 if not r.closed:
-                    store._put(r.name, instance.frames[r.name], meta)
+                    store._put(r.name, instance.scan(r.name), meta)
             store._raise_marks(instance.frames, meta)
         store._save(meta)
         return store
@@ -176,7 +176,7 @@ class Store:
     def snapshot(self) -> Instance:
         """The current generation; later writes don't change it."""
         frames = {n: self.spark.read.schema(self.schema[n].struct()).parquet(f"{self.files.root}/{f}") for n, f in self.meta["folders"].items()}
-        return Instance(self.spark, self.schema, frames, distinct=False, generation=self.meta["generation"])
+        return Instance(self.spark, self.schema, frames, sets=None, generation=self.meta["generation"])
 
     def reserve(self, name: str, n: int = 1) -> range:
         """Fresh ids; the mark is saved at once, so that no id is given out again even if the write is dropped."""

@@ -91,16 +91,9 @@ def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-#: Relations whose rows the tables keep distinct already: no distinct is needed.
+#: Relations whose rows the tables keep distinct.
 SETS = {"Region", "Nation", "Customer", "Supplier", "Part", "Order", "Event"}
 
 
 def load(spark: SparkSession, sf_dir: str, schema: Schema = SCHEMA) -> Instance:
-    made = frames(spark, sf_dir)
-    plain = {k: v for k, v in made.items() if k in SETS}
-    out = Instance(spark, schema, {k: v for k, v in made.items() if k not in SETS})
-    from relspark.engine import conform
-
-    for k, v in plain.items():
-        out.frames[k] = conform(v, schema[k], distinct=False)
-    return out
+    return Instance(spark, schema, frames(spark, sf_dir), sets=SETS)
