@@ -81,7 +81,7 @@ def evaluate(rc: RuleCompiler, rules: list[TypedRule], signature: list) -> DataF
         df = df.distinct()
     i, f = folds[0]
     if f.op == "pack":
-        return pack(df.distinct(), group, f"c{i}_start", f"c{i}_end").select(*(c for k in range(len(finds)) for c in find_columns(k, signature[k])))
+        return pack(df.distinct(), group, f"c{i}_start", f"c{i}_end", rc.options.pack_width).select(*(c for k in range(len(finds)) for c in find_columns(k, signature[k])))
     aggs = []
     for i, f in folds:
         if f.op == "count":

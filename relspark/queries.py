@@ -136,6 +136,7 @@ def _islands(keys: str, source: str, order: str = "s, e") -> str:
 
 add("pack_by_user", query(rule([V.u, pack(V.d)], atom("EventSpan", user=V.u, during=V.d))), ["user", "during"], _islands('"user"', 'SELECT DISTINCT "user", s, e FROM span_'))
 add("pack_global", query(rule([pack(V.d)], atom("EventSpan", user=V.u, type=2, during=V.d))), ["during"], _islands("", "SELECT DISTINCT s, e FROM span_ WHERE type = 2"))
+add("pack_hot_users", query(rule([V.u, pack(V.d)], atom("EventSpan", user=V.u, during=V.d))), ["user", "during"], _islands('"user"', 'SELECT DISTINCT "user", s, e FROM span_'), options=Options(pack_width=24 * HOUR))
 add("pack_union", query(*(rule([V.u, pack(V.d)], atom("EventSpan", user=V.u, type=k, during=V.d)) for k in (0, 4))), ["user", "during"], _islands('"user"', 'SELECT DISTINCT "user", s, e FROM span_ WHERE type IN (0, 4)'))
 add("busy_without_error", query(rule([V.u, V.d], atom("EventSpan", user=V.u, type=2, during=V.d), atom("Event", user=V.u, type=0, at=V.a), point_in(V.d, V.a), Not(atom("EventSpan", user=V.u, type=1, during=V.a)))), ["user", "during"], 'SELECT DISTINCT x."user", x.s AS during_start, x.e AS during_end FROM span_ x JOIN event_ v ON v."user" = x."user" AND v.type = 0 AND x.s <= v.moment AND v.moment < x.e WHERE x.type = 2 AND NOT EXISTS (SELECT 1 FROM span_ y WHERE y."user" = x."user" AND y.type = 1 AND y.s <= v.moment AND v.moment < y.e)')
 

@@ -138,6 +138,12 @@ def test_measures(worlds, spark):
     assert ray.prepare(guarded).collect() == {(1,), (2,)}
 
 
+def test_pack_in_stretches(worlds):
+    state, at = worlds(3)
+    for name in ("pack", "pack_all"):
+        assert at.prepare(CASES[name], Options(pack_width=4)).collect() == naive.answers(CASES[name].rules, state)
+
+
 def test_params(worlds):
     state, at = worlds(3)
     q = query(rule([V.i], atom("A", id=V.i, grp=P.g, name=S.ns)))

@@ -183,3 +183,30 @@ def test_schema_round_trip():
     assert SCHEMA.manifest()["Room"]["fields"] == {"id": 0, "open": 1}
     assert render_statement(SCHEMA.statements[-1]) == "Room(id) <=[duration(during)]{0..duration(open)} Booking(room)"
     assert len(mirrors(side("Room", "id"), side("Busy", "room"))) == 2
+
+
+def test_schema_text():
+    from relspark.plans.schema_text import parse_schema, render_schema, render_violation
+    from relspark.queries import JUDGED
+    from relspark.sources.tables import SCHEMA as TABLES
+    from tests.test_engine import SCHEMA as OTHER
+
+    for s in (SCHEMA, OTHER, TABLES, JUDGED):
+        assert parse_schema(render_schema(s)) == s
+    s = parse_schema("""
+        // rooms and what is booked in them
+        relation Room { id: u64 fresh, open: interval<i64>, tag: bytes<2> }
+        relation Slot { room: u64, part: interval<i64, 30>, kind: u64 }
+        closed Kind { hot: bool } = { low: (false), top: (true) }
+        Slot(room, part) -> Slot
+        Slot(room | kind == {0, 1}) <= Room(id)
+        Slot(kind) <= Kind(id)
+        Room(id | tag == 0x0a0b) <=[duration(part)]{1..*} Slot(room)
+    """)
+    assert s.statements[-1] == Capacity(side("Room", "id", tag=b"\x0a\x0b"), side("Slot", "room"), 1, None, ("duration", "part"))
+    assert parse_schema(render_schema(s)) == s
+    text = render_violation(s, {"statement": 2, "direction": "source", "relation": "Slot", "fact": "{}"})
+    assert text == "Slot {} shares its key: Slot(room, part) -> Slot"
+    for bad in ("relation R { a: float }", "R(a) => R", "relation R { a: i64"):
+        with pytest.raises(SchemaError, match="Syntax"):
+            parse_schema(bad)
