@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -59,6 +60,19 @@ def drop_scratch(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
 
 
+#: Rows and bytes of an Arrow batch on its way to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small where the session allows larger ones: texts are long, and batches count twice, in the JVM and in Python."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        n, unit = re.match(r"(-?\d+)([kmgt]?)", spark.conf.get(key).lower()).groups()
+        now = int(n) * 1024 ** " kmgt".index(unit or " ")
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -73,4 +87,4 @@ def crc_mod(col: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-__all__ = ["SPACE", "WORD", "StorageLevel", "ascii_lower_sql", "crc_mod", "drop_scratch", "materialize", "read", "scratch_path", "scratch_root"]
+__all__ = ["SPACE", "WORD", "StorageLevel", "ascii_lower_sql", "bounded_batches", "crc_mod", "drop_scratch", "materialize", "read", "scratch_path", "scratch_root"]

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import materialize
+from relspark.llm.common import bounded_batches, materialize
 from relspark.llm.textops import WORDS_ALNUM, hashed_words, slices
 
 MAX_BENCHMARK_BYTES = 256 << 20
@@ -203,6 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     ``slop`` None: exact phrases.  A number: in-order matches with up to that
     many words between neighbours; n_hit then counts the words where one ends.
     """
+    bounded_batches(docs.sparkSession)
     test = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     size = test.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     if size > MAX_BENCHMARK_BYTES:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relspark.llm.common import bounded_batches
 from relspark.llm.textops import slices
 
 #: Element kinds of HTML.
@@ -296,6 +297,7 @@ def _run(batches):
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
     return rows.mapInArrow(_run, "page_id long, url string, text string, n_chars long")
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import drop_scratch, materialize
+from relspark.llm.common import bounded_batches, drop_scratch, materialize
 from relspark.llm.textops import WORDS_BY_SPACE, hashed_words, mix, slices
 
 HASHES, MAX_ERRORS, CHUNKS = 64, 25, 13
@@ -322,6 +322,7 @@ def min_labels(links: DataFrame, reps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, id (doc_id or its stand-in), row_key (xxhash64 of id and text), n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     docs = docs.select("doc_id", F.coalesce("doc_id", F.expr(f"(xxhash64(text) & {NO_ID - 1}) + {NO_ID}")).alias("id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
     feats = materialize(docs.mapInArrow(_features(shingle), "doc_id long, id long, row_key long, n_shingles long, c long, sig binary"), "near-features")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import crc_mod
+from relspark.llm.common import bounded_batches, crc_mod
 from relspark.llm.learning import fit_temperature, labelled_sample, logits, sigmoid, two_layer
 from relspark.llm.textops import WORDS_BY_SPACE, hash_spans, mix, slices, text_buffers, word_spans
 
@@ -163,6 +163,7 @@ def _score(model: dict, threshold: float):
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.5, max_rows: int = 6_000, max_bytes: int = 32 << 20) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted.  ``held_out``: a condition on the id; such rows teach nothing."""
+    bounded_batches(docs.sparkSession)
     model = fit(labelled_sample(docs, labels, label, ~held_out, max_rows, max_bytes, doc_id, text))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     return rows.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")

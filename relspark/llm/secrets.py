@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import materialize
+from relspark.llm.common import bounded_batches, materialize
 from relspark.llm.textops import slices, text_buffers
 
 #: The base patterns, in the order in which kinds are listed.
@@ -121,6 +121,7 @@ def _scan(batches):
 
 def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "source", max_owners: int = 2) -> DataFrame:
     """Per row: doc_id, row_key, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example and the live spans as an array."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key"),

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
-SLICE = 2 << 20
+SLICE = 512 << 10
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 9, 10, 11, 12, 13]] = True

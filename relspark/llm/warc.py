@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import materialize, scratch_path
+from relspark.llm.common import bounded_batches, materialize, scratch_path
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -279,6 +279,7 @@ def write_warc(
     least_shards: int = 12,
 ) -> DataFrame:
     """Write the pages below ``folder``, which all executors share; the manifest comes back."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     sizes = materialize(rows.select("page_id", "sha", F.octet_length("html").cast("long").alias("bytes")), "warc-sizes")
