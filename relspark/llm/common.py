@@ -2,64 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relspark.sources.scratch import drop_scratch, materialize, scratch_path
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a session in local mode (tests) may go without that setting; it then
-    gets a temporary folder of its own, removed at exit.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="relspark-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/relspark-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
-
-    This cuts the lineage at files that outlive any executor.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch_path = path  # noqa: SLF001  for drop_scratch
-    return out
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialize`; nothing may read it after."""
-    path = getattr(df, "_scratch_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
-
-
 #: Rows and bytes of an Arrow batch on its way to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
@@ -77,14 +31,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ascii_lower_sql(col: str) -> str:
-    """SQL that lower-cases A to Z only."""
-    return f"translate({col}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
 def crc_mod(col: str, mod: int):
     """crc32 of the value's decimal text, modulo ``mod``; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-__all__ = ["SPACE", "WORD", "StorageLevel", "ascii_lower_sql", "bounded_batches", "crc_mod", "drop_scratch", "materialize", "read", "scratch_path", "scratch_root"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "SPACE", "WORD", "bounded_batches", "crc_mod", "drop_scratch", "materialize", "read", "scratch_path"]

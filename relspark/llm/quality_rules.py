@@ -148,7 +148,7 @@ def quality_rules(
     pooled = good.groupBy().agg(*sums, F.sum("n_words").alias("total")).select(*(a.alias(n) if isinstance(a, Column) else F.col(a) for a, n in zip(arrays, ("all_chars", "all_words", "total"), strict=True))).drop("total")
     # One row of pooled sums and one row a language: both are aggregates whose size doesn't follow the documents.
     refs = F.broadcast(by_lang.drop("total"))
-    out = stats.join(refs, "lang_", "left").crossJoin(F.broadcast(pooled))
+    out = stats.join(refs, "lang_", "left").withColumn("one_", F.lit(1)).join(F.broadcast(pooled.withColumn("one_", F.lit(1))), "one_")
     out = out.withColumn("ref_chars", F.coalesce("ref_chars", "all_chars")).withColumn("ref_words", F.coalesce("ref_words", "all_words"))
     out = out.withColumn("char_distance", F.expr(f"coalesce({_js_distance('chars_', 'ref_chars')}, 0D)"))
     out = out.withColumn("word_distance", F.expr(f"coalesce({_js_distance('words_', 'ref_words')}, 0D)"))
