@@ -18,6 +18,23 @@ from relspark.schema import Schema
 from relspark.types import Interval, fits, ray_end, spark_type, to_physical
 
 
+class Frames(dict):
+    """DataFrames by name, made when first asked for: a query opens only the tables that it reads."""
+
+    def __getitem__(self, name):
+        v = super().__getitem__(name)
+        if not isinstance(v, DataFrame):
+            v = v()
+            self[name] = v
+        return v
+
+    def get(self, name, default=None):
+        return self[name] if name in self else default
+
+    def copy(self):
+        return Frames(self)
+
+
 class Instance:
     """A state: one DataFrame a relation.
 
@@ -27,25 +44,27 @@ class Instance:
     ``counts`` (optional) helps to order joins.
     """
 
-    def __init__(self, spark: SparkSession, schema: Schema, frames: dict[str, DataFrame], counts: dict[str, int] | None = None, sets: set[str] | None = frozenset(), generation: int = 0):
+    def __init__(self, spark: SparkSession, schema: Schema, frames: dict, counts: dict[str, int] | None = None, sets: set[str] | None = frozenset(), generation: int = 0):
         self.spark, self.schema, self.counts, self.generation = spark, schema, counts or {}, generation
         self.id = uuid.uuid4().hex
         self.loose = set() if sets is None else {r.name for r in schema.relations if not r.closed} - set(sets)
-        self.frames: dict[str, DataFrame] = {}
+        self.frames = Frames()
         for r in schema.relations:
             if r.closed:
-                self.frames[r.name] = F.broadcast(closed_frame(spark, r))  # at most 256 rows
+                self.frames[r.name] = lambda r=r: F.broadcast(closed_frame(spark, r))  # at most 256 rows
+            elif r.name in frames:
+                self.frames[r.name] = lambda r=r: conform(frames[r.name], r)
             else:
-                self.frames[r.name] = conform(frames[r.name], r) if r.name in frames else spark.createDataFrame([], r.struct())
+                self.frames[r.name] = lambda r=r: spark.createDataFrame([], r.struct())
 
     def scan(self, name: str) -> DataFrame:
         self.schema[name]
         return self.frames[name].distinct() if name in self.loose else self.frames[name]
 
     @property
-    def facts(self) -> dict[str, DataFrame]:
+    def facts(self) -> Frames:
         """Every relation as a set."""
-        return {r.name: self.scan(r.name) for r in self.schema.relations}
+        return Frames({r.name: lambda r=r: self.scan(r.name) for r in self.schema.relations})
 
     def count(self, name: str) -> int:
         return self.scan(name).count()
@@ -120,7 +139,7 @@ class Prepared:
         if at.schema is not self.instance.schema:
             raise BindError("ForeignPreparedQuery")
         t = self.typed
-        rc = RuleCompiler(at.schema, dict(at.frames), t.tables, self.bind(params), self.options, at.counts, at.loose)
+        rc = RuleCompiler(at.schema, at.frames.copy(), t.tables, self.bind(params), self.options, at.counts, at.loose)
         trim = collapse if self.options.collapse_rules else list
         for i in t.query.interiors:
             rc.frames[i.name] = evaluate(rc, trim(t.interiors[i.name]), t.tables[i.name])
@@ -206,4 +225,4 @@ def conform(df: DataFrame, r) -> DataFrame:
     return df.select(*cols)
 
 
-__all__ = ["Instance", "Prepared", "closed_frame", "conform", "facts_frame"]
+__all__ = ["Frames", "Instance", "Prepared", "closed_frame", "conform", "facts_frame"]

@@ -104,6 +104,6 @@ def _keeps_all(r: TypedRule) -> bool:
 
 
 def empty(rc: RuleCompiler, signature: list) -> DataFrame:
-    spark = next(iter(rc.frames.values())).sparkSession
+    spark = rc.frames[next(iter(rc.frames))].sparkSession
     cols = ", ".join(f"{c} {(spark_type(t.element if isinstance(t, Interval) else t)).simpleString()}" for i, t in enumerate(signature) for c in find_columns(i, t))
     return spark.createDataFrame([], cols)

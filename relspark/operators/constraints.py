@@ -144,7 +144,7 @@ def violations(frames: dict[str, DataFrame], schema: Schema, keys_first: bool =
 def _union(parts: list[DataFrame], frames) -> DataFrame:
     if parts:
         return reduce(lambda a, b: a.unionByName(b), parts)
-    spark = next(iter(frames.values())).sparkSession
+    spark = frames[next(iter(frames))].sparkSession
     return spark.createDataFrame([], "statement int, direction string, relation string, fact string")
 
 
@@ -178,7 +178,7 @@ def change_violations(base: dict[str, DataFrame], inserts: dict[str, DataFrame],
     found = _union(keys, final)
     if keys and not found.isEmpty():
         return found
-    refuse_ray_weights({**final, **{k: v for k, v in inserts.items()}}, schema)
+    refuse_ray_weights(final, schema)
     rest = []
     for i, st in enumerate(schema.statements):
         if isinstance(st, Key):
@@ -207,8 +207,10 @@ def change_violations(base: dict[str, DataFrame], inserts: dict[str, DataFrame],
 
 def apply_change(base: dict[str, DataFrame], inserts: dict[str, DataFrame], deletes: dict[str, DataFrame], schema: Schema) -> dict[str, DataFrame]:
     """The final state; a fact that is deleted and inserted stays."""
-    out = dict(base)
+    out = base.copy()
     for r in schema.relations:
+        if r.name not in deletes and r.name not in inserts:
+            continue
         df = base[r.name]
         if r.name in deletes:
             df = df.join(deletes[r.name], r.columns(), "left_anti")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from relspark.engine import Instance
+from relspark.engine import Frames, Instance
 from relspark.schema import Capacity, Contained, Key, Schema, closed, relation, side
 from relspark.types import I64, U64, Bool, Interval, Str
 
@@ -65,30 +65,44 @@ def micros(c: str):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def frames(spark: SparkSession, sf_dir: str) -> Frames:
     def t(name):
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    kinds = F.create_map(*(F.lit(x) for i, k in enumerate(EVENT_TYPES) for x in (k, i)))
-    orders, lines, events, turns = t("orders"), t("lineitem"), t("events"), t("conversations")
-    event = events.select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.element_at(kinds, F.col("event_type")).alias("type"), cents("value").alias("value"), micros("ts").alias("at"))
-    line = lines.select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("qty"), cents("l_extendedprice").alias("price"), micros("l_shipdate").alias("ship"))
-    order = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), cents("o_totalprice").alias("total"), micros("o_orderdate").alias("placed"))
-    shipment = line.join(order.select(F.col("id").alias("order"), "placed"), "order").where("placed < ship")
-    return {
-        "Region": t("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")),
-        "Nation": t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")),
-        "Customer": t("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), cents("c_acctbal").alias("balance")),
-        "Supplier": t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), cents("s_acctbal").alias("balance")),
-        "Part": t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"), cents("p_retailprice").alias("price")),
-        "Order": order,
-        "Line": line,
-        "Event": event,
-        "EventSpan": event.select("user", "type", F.col("at").alias("during_start")),
-        "Shipment": shipment.select("order", "line", "part", F.col("placed").alias("during_start"), F.col("ship").alias("during_end")),
-        "Turn": turns.select(F.col("conv_id").alias("conv"), "turn", "role"),
-        "Next": turns.where("turn > 0").select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("node"), (F.col("conv_id") * 1000 + F.col("turn")).alias("after")),
-    }
+    def event():
+        kinds = F.create_map(*(F.lit(x) for i, k in enumerate(EVENT_TYPES) for x in (k, i)))
+        return t("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("user"), F.element_at(kinds, F.col("event_type")).alias("type"), cents("value").alias("value"), micros("ts").alias("at"))
+
+    def line():
+        return t("lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("qty"), cents("l_extendedprice").alias("price"), micros("l_shipdate").alias("ship"))
+
+    def order():
+        return t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), cents("o_totalprice").alias("total"), micros("o_orderdate").alias("placed"))
+
+    def shipment():
+        ships = line().join(order().select(F.col("id").alias("order"), "placed"), "order").where("placed < ship")
+        return ships.select("order", "line", "part", F.col("placed").alias("during_start"), F.col("ship").alias("during_end"))
+
+    def following():
+        node = F.col("conv_id") * 1000 + F.col("turn")
+        return t("conversations").where("turn > 0").select((node - 1).alias("node"), node.alias("after"))
+
+    return Frames(
+        {
+            "Region": lambda: t("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")),
+            "Nation": lambda: t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")),
+            "Customer": lambda: t("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), cents("c_acctbal").alias("balance")),
+            "Supplier": lambda: t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), cents("s_acctbal").alias("balance")),
+            "Part": lambda: t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"), cents("p_retailprice").alias("price")),
+            "Order": order,
+            "Line": line,
+            "Event": event,
+            "EventSpan": lambda: event().select("user", "type", F.col("at").alias("during_start")),
+            "Shipment": shipment,
+            "Turn": lambda: t("conversations").select(F.col("conv_id").alias("conv"), "turn", "role"),
+            "Next": following,
+        }
+    )
 
 
 #: Relations whose rows the tables keep distinct.
