@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm.common import bounded_batches, materialize
-from relspark.llm.textops import slices, text_buffers
+from relspark.llm.textops import slices, text_buffers, word_spans
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -80,11 +80,9 @@ def other_tokens(text: str, base: list) -> list[tuple[int, int, int, str]]:
 
 
 def _long_runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, least: int) -> np.ndarray:
-    """The numbers of the texts that hold a run of ``least`` bytes of the table."""
-    inside = np.concatenate([[False], table[data[offsets[0] : offsets[-1]]], [False]])
-    cuts = np.flatnonzero(inside[1:] != inside[:-1])
-    starts = cuts[0::2][(cuts[1::2] - cuts[0::2]) >= least] + offsets[0]
-    return np.unique(np.searchsorted(offsets, starts, "right") - 1)
+    """The numbers of the texts that hold a run of ``least`` bytes of the table; a run ends with its text."""
+    starts, ends, texts = word_spans(data, offsets, table)
+    return np.unique(texts[ends - starts >= least])
 
 
 def _scan(batches):

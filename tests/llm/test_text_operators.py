@@ -5,9 +5,10 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from relspark.llm import chat_rotation, decontamination, mixing, near_dedup, quality_rules, secrets, warc
+from relspark.llm import chat_rotation, decontamination, mixing, near_dedup, quality_rules, secrets, textops, warc
 from relspark.llm.common import scratch_path
 
 SP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,6 +178,18 @@ def test_secret_scan(spark):
     assert secrets.secret_scan(df.limit(0)).isEmpty()
 
 
+def test_secrets_at_the_start_of_a_text(spark):
+    """A text that begins with its secret, after one that ends within a word, in one slice."""
+    hashed, token = "0123456789abcdef" * 2, "Zq8Kx2Lm5Np7Rt3Vw9Yb4Cd6"
+    rows = [(1, "ends in a word", "a"), (2, f"{hashed} file.txt", "b"), (3, "word", "c"), (4, token, "d"), (5, "", "e"), (6, None, "e"), (7, hashed.replace("0", "1"), "f"), (8, "x" * 15, "g"), (9, "x" * 15, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    got = {r.doc_id: r for r in secrets.secret_scan(df).collect()}
+    assert {i: r.spans for i, r in got.items() if r.spans} == {2: "hex:0:32", 4: "owned:0:24", 7: "hex:0:32"}
+    assert {i: r.base_sha256 for i, r in got.items() if r.n_hex} == dict.fromkeys((2, 7), hashlib.sha256(b"hex:0:32").hexdigest())
+    data, offsets = textops.text_buffers(pa.array([t for _, t, _ in rows]))
+    assert secrets._long_runs(data, offsets, secrets._TOKEN_BYTES, 20).tolist() == [1, 3, 6]
+
+
 def test_quality_rules(spark, docs):
     want = []
     for i, t, _, _ in rows_of(docs):
