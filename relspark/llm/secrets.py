@@ -4,9 +4,9 @@ Base patterns give the spans that any single text shows.  Every base value and
 every other long mixed token is a candidate; candidates are hashed, and the
 hashes are counted by distinct repositories and owners over the whole corpus.
 A value that more than ``max_owners`` owners hold is a widely copied example;
-one that few hold and that looks random is taken as live.  Tokens that are live
-by that count become spans of kind ``owned`` beside the base spans, which all
-stay.
+one that few hold is taken as live, whatever characters a base value has.  Tokens
+that are live by that count become spans of kind ``owned`` beside the base spans,
+which all stay; only these tokens must look random to be candidates.
 
 Only hashes of values leave the scan, never the values.
 
@@ -44,8 +44,8 @@ _HEX_BYTES[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
 _TOKEN_BYTES = np.zeros(256, bool)
 _TOKEN_BYTES[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", np.uint8)] = True
 
-SCHEMA = "uid long, doc_id long, row_key long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, base string, cands array<struct<kind:int,start:int,end:int,hash:string,random:boolean>>"
-_CANDS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("random", pa.bool_())]))
+SCHEMA = "uid long, doc_id long, row_key long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, base string, cands array<struct<kind:int,start:int,end:int,hash:string>>"
+_CANDS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.string())]))
 
 
 def entropy(value: str) -> float:
@@ -54,7 +54,7 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def looks_random(value: str, least: float = 3.0) -> bool:
+def looks_random(value: str, least: float) -> bool:
     return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and entropy(value) >= least
 
 
@@ -108,7 +108,7 @@ def _scan(batches):
             named = ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e, _ in base)
             cols["base"].append(named)
             cols["sha"].append(hashlib.sha256(named.encode()).hexdigest() if named else empty)
-            cols["cands"].append([{"kind": k, "start": s, "end": e, "hash": hashlib.sha256(v.encode()).hexdigest()[:32], "random": looks_random(v)} for k, s, e, v in base + more])
+            cols["cands"].append([{"kind": k, "start": s, "end": e, "hash": hashlib.sha256(v.encode()).hexdigest()[:32]} for k, s, e, v in base + more])
         uid = pa.array(np.arange(number, number + part.num_rows))
         number += part.num_rows
         yield pa.RecordBatch.from_arrays(
@@ -135,7 +135,7 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own
     stats = seen.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
     stats = materialize(stats, "secret-owners")
     judged = found.withColumn("hash", F.col("c.hash")).join(stats, "hash")
-    live = (F.col("n_owners") <= max_owners) & F.col("c.random")
+    live = F.col("n_owners") <= max_owners
     judged = judged.where((F.col("c.kind") < 3) | live)
     span = F.struct(F.col("c.start").alias("start"), F.col("c.kind").alias("kind"), F.col("c.end").alias("end"), live.alias("live"))
     by_doc = judged.groupBy("uid").agg(*(F.first(c).alias(c) for c in kept[1:]), F.array_sort(F.collect_list(span)).alias("found"))
