@@ -11,14 +11,19 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from relspark.engine import Instance, conform, facts_frame
 from relspark.errors import StoreError
 from relspark.operators.constraints import change_violations, violations
 from relspark.schema import Schema
+from relspark.sources.scratch import drop_scratch, materialize
 
 FORMAT = 1
 
+#: Violations that the driver gets to show, dealt evenly to the broken statements; ``Found.table`` has all of them.
+SHOWN = 10_000
+
 
 class _Files:
     def __init__(self, spark: SparkSession, root: str):
@@ -54,11 +59,38 @@ class _Files:
         return self.fs.getContentSummary(self._path(self.root)).getLength()
 
 
+class Found(list):
+    """Violations: the list holds rows to show, the rest is complete.
+
+    ``table`` is a DataFrame of every violation, written to the shared scratch
+    folder (``drop_scratch(found.table)`` deletes it), or None if there is none;
+    ``counts`` is the number of violations by (statement, direction), ``total``
+    their sum.  ``cut``: the list holds fewer than ``total``.
+    """
+
+    def __init__(self, rows=(), table: DataFrame | None = None, counts: dict[tuple[int, str], int] | None = None):
+        super().__init__(rows)
+        self.table, self.counts = table, counts or {}
+        self.total = sum(self.counts.values())
+        self.cut = len(self) < self.total
+
+    @staticmethod
+    def of(rows: DataFrame, **more) -> Found:
+        table = materialize(rows, "violations")
+        counts = {(r.statement, r.direction): r.n for r in table.groupBy("statement", "direction").agg(F.count(F.lit(1)).alias("n")).orderBy("statement", "direction").collect()}
+        if not counts:
+            drop_scratch(table)
+            return Found()
+        share = max(1, SHOWN // len(counts))
+        shown = [{**more, **r.asDict()} for k, d in counts for r in table.where((F.col("statement") == k) & (F.col("direction") == d)).orderBy("relation", "fact").limit(share).collect()]
+        return Found(shown, table, counts)
+
+
 class Write:
     """The outcome of a write: accepted with the new generation, or rejected with its violations, or moved."""
 
-    def __init__(self, status: str, generation: int, found: list[dict] = (), changed: int = 0):
-        self.status, self.generation, self.violations, self.changed = status, generation, list(found), changed
+    def __init__(self, status: str, generation: int, found: Found | None = None, changed: int = 0):
+        self.status, self.generation, self.violations, self.changed = status, generation, Found() if found is None else found, changed
 
     def __bool__(self):
         return self.status == "accepted"
@@ -141,9 +173,9 @@ class Store:
         meta = {"format": FORMAT, "fingerprint": schema.fingerprint(), "schema": schema.to_json(), "generation": 0, "folders": {}, "next": {}}
         store = Store(spark, root, schema, meta)
         if instance is not None:
-            found = violations(instance.facts, schema)
-            if not found.isEmpty():
-                raise StoreError("NotAdmitted", root, violations=[r.asDict() for r in found.limit(100).collect()])
+            found = Found.of(violations(instance.facts, schema))
+            if found:
+                raise StoreError("NotAdmitted", root, violations=found)
             for r in schema.relations:
                 if not r.closed:
                     store._put(r.name, instance.scan(r.name), meta)
@@ -189,8 +221,6 @@ class Store:
         return range(start, start + n)
 
     def _raise_marks(self, frames: dict[str, DataFrame], meta: dict) -> None:
-        from pyspark.sql import functions as F
-
         for r in self.schema.relations:
             for f in r.fields:
                 if f.fresh and r.name in frames:
@@ -216,10 +246,9 @@ class Store:
         if not ins and not dels:
             return Write("accepted", self.meta["generation"])
         try:
-            found = change_violations(base.frames, ins, dels, self.schema)
-            rows = [r.asDict() for r in found.orderBy("statement", "direction", "relation", "fact").limit(10_000).collect()]
-            if rows:
-                return Write("rejected", self.meta["generation"], rows)
+            found = Found.of(change_violations(base.frames, ins, dels, self.schema))
+            if found:
+                return Write("rejected", self.meta["generation"], found)
             meta = json.loads(json.dumps(self.meta))
             changed = 0
             for n in {*ins, *dels}:
@@ -242,12 +271,10 @@ class Store:
             for df in (*ins.values(), *dels.values()):
                 df.unpersist()
 
-    def verify(self) -> list[dict]:
+    def verify(self) -> Found:
         """Findings of a sweep over the current state: violations and missing folders."""
-        out = [{"finding": "missing folder", "relation": n} for n, f in self.meta["folders"].items() if not self.files.exists(f)]
-        if not out:
-            out = [{"finding": "violation", **r.asDict()} for r in violations(self.snapshot().frames, self.schema).limit(10_000).collect()]
-        return out
+        out = Found({"finding": "missing folder", "relation": n} for n, f in self.meta["folders"].items() if not self.files.exists(f))
+        return out or Found.of(violations(self.snapshot().frames, self.schema), finding="violation")
 
     def compact(self, dest: str, files_per_relation: int = 1) -> Store:
         at = self.snapshot()

@@ -12,7 +12,8 @@ def commit_batches(stream: DataFrame, store: Store, relation: str, checkpoint: s
     """A streaming query that inserts the stream's rows (the relation's columns) into the store.
 
     A batch that breaks a statement is not written; its violations go to
-    ``rejected`` as (batch, rows), or end the stream where that is None.  A batch
+    ``rejected`` as (batch, ``Found``, whose table has all of them), or end the
+    stream where that is None.  A batch
     that runs twice after a failure changes nothing the second time, because
     relations are sets.
     """

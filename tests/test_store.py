@@ -140,6 +140,34 @@ def test_stream_and_derived(spark, tmp_path):
     assert maintain(store, "Busy", compute).changed == 1 and store.snapshot().count("Busy") == 0
 
 
+def test_every_violation_is_kept(spark, tmp_path):
+    """More violations than are shown, and a hot statement before another: all of them, from write, stream, verify and create."""
+    n = 12_000
+    rows = spark.range(n).selectExpr("id AS room", "0L AS during_start", "5L AS during_end", "1L AS weight")
+    store = Store.create(spark, f"file://{tmp_path}/store", SCHEMA)
+    want = {(i, "source"): n for i, st in enumerate(SCHEMA.statements) if isinstance(st, Contained)}
+
+    def whole(found, counts):
+        assert found.counts == counts and found.total == sum(counts.values()) and found.cut == (len(found) < found.total)
+        assert found.table.select("statement", "direction", "fact").distinct().count() == found.total
+        assert {(v["statement"], v["direction"]) for v in found} == set(counts)
+
+    done = store.write(lambda d: d.insert("Booking", rows))
+    assert done.status == "rejected" and done.violations.cut
+    whole(done.violations, want)
+    rejected = []
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    commit_batches(stream, store, "Booking", f"{tmp_path}/check", rejected).trigger(availableNow=True).start().awaitTermination(120)
+    whole(rejected[0][1], want)
+    store._put("Booking", rows, store.meta)
+    assert {v["finding"] for v in store.verify()} == {"violation"}
+    whole(store.verify(), want)
+    with pytest.raises(StoreError) as e:
+        Store.create(spark, f"file://{tmp_path}/other", SCHEMA, Instance(spark, SCHEMA, frames(spark, [], []) | {"Booking": rows.limit(150)}))
+    whole(e.value.details["violations"], {k: 150 for k in want})
+
+
 def test_wide_u64(spark):
     wide = Schema((relation("N", id=U64(wide=True), at=Interval(U64(wide=True))),), (Key("N", ("id",)),))
     top = 2**64 - 1
