@@ -16,6 +16,9 @@ from relspark.sources.tables import HOUR, JUDGED, load
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Queries over a few ids; each has one over the whole relations beside it, with ``_all`` after its name.
+FEW_IDS = ["selfjoin_same_part_spread", "allen_before", "allen_after", "allen_disjoint", "ship_starts", "ship_during", "ship_finishes", "ship_overlaps", "ship_contains_or_meets", "interval_ne", "group_by_duration"]
+
 #: The derived relations in SQL.
 BASE = """
 region_ AS (SELECT r_regionkey::BIGINT AS id, r_name AS name FROM region),
@@ -64,6 +67,7 @@ add("dead_range", query(rule([V.o], atom("Order", id=V.o, total=V.t), lt(V.t, 10
 add("walk_customer_orders", query(rule([V.n, V.c, V.o], atom("Order", id=V.o, cust=V.c), atom("Customer", id=V.c, nation=V.k), atom("Nation", id=V.k, name=V.n))), ["nation", "cust", "order"], 'SELECT DISTINCT n.name AS nation, c.id AS cust, o.id AS "order" FROM order_ o JOIN customer_ c ON o.cust = c.id JOIN nation_ n ON c.nation = n.id')
 add("chain4", query(rule([V.r, V.l], atom("Region", id=V.g, name=V.r), atom("Nation", id=V.k, region=V.g), atom("Customer", id=V.c, nation=V.k), atom("Order", id=V.o, cust=V.c, total=V.t), atom("Line", order=V.o, line=V.l, price=V.p), gt(V.t, 20_000_000), gt(V.p, 8_000_000))), ["region", "line"], "SELECT DISTINCT r.name AS region, l.line FROM region_ r JOIN nation_ n ON n.region = r.id JOIN customer_ c ON c.nation = n.id JOIN order_ o ON o.cust = c.id JOIN line_ l ON l.\"order\" = o.id WHERE o.total > 20000000 AND l.price > 8000000")
 add("selfjoin_same_part_spread", query(rule([V.p, V.a, V.b], atom("Line", part=V.p, order=V.a, qty=V.q), atom("Line", part=V.p, order=V.b, qty=V.r), lt(V.q, V.r), lt(V.p, 20), gt(V.r, 40))), ["part", "a", "b"], 'SELECT DISTINCT a.part, a."order" AS a, b."order" AS b FROM line_ a JOIN line_ b ON a.part = b.part AND a.qty < b.qty WHERE a.part < 20 AND b.qty > 40')
+add("selfjoin_same_part_spread_all", query(rule([V.p, V.a, V.b], atom("Line", part=V.p, order=V.a, qty=V.q), atom("Line", part=V.p, order=V.b, qty=V.r), lt(V.q, V.r), gt(V.r, 40))), ["part", "a", "b"], 'SELECT DISTINCT a.part, a."order" AS a, b."order" AS b FROM line_ a JOIN line_ b ON a.part = b.part AND a.qty < b.qty WHERE b.qty > 40')
 add("triangle_part_supp_order", query(rule([V.p, V.s, V.o], atom("Line", order=V.o, part=V.p), atom("Line", order=V.o, supp=V.s), atom("Line", part=V.p, supp=V.s))), ["part", "supp", "order"], 'SELECT DISTINCT a.part, b.supp, a."order" AS "order" FROM line_ a JOIN line_ b ON a."order" = b."order" JOIN line_ c ON c.part = a.part AND c.supp = b.supp')
 add("product_regions", query(rule([V.a, V.b], atom("Region", name=V.a), atom("Region", name=V.b))), ["a", "b"], "SELECT DISTINCT a.name AS a, b.name AS b FROM region_ a, region_ b")
 add("semi_customers_with_orders", query(rule([V.c], atom("Customer", id=V.c, segment="BUILDING"), atom("Order", cust=V.c, total=V.t), gt(V.t, 15_000_000))), ["cust"], "SELECT DISTINCT id AS cust FROM customer_ c WHERE segment = 'BUILDING' AND EXISTS (SELECT 1 FROM order_ o WHERE o.cust = c.id AND o.total > 15000000)")
@@ -102,28 +106,32 @@ add("point_in_condition", query(rule([V.o, V.l], atom("Shipment", order=V.o, lin
 add("constant_interval_point", query(rule([V.i], atom("Event", id=V.i, at=V.a), point_in((T0, T0 + 6 * HOUR), V.a))), ["event"], f"SELECT DISTINCT id AS event FROM event_ WHERE moment >= {T0} AND moment < {T0 + 6 * HOUR}")
 for _name in [*BASICS, "intersects", "disjoint", "covers", "covered_by"]:
     _wide = _name in ("before", "after", "disjoint")
-    add(
-        f"allen_{_name}",
-        query(rule([V.u, V.a, V.b], atom("EventSpan", user=V.u, type=4 if _wide else 2, during=V.a), atom("EventSpan", user=V.u, type=3 if _wide else 0, during=V.b), allen(_name, V.a, V.b), *([lt(V.u, 10)] if _wide else []))),
-        ["user", "a", "b"],
-        f'SELECT DISTINCT x."user", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM span_ x JOIN span_ y ON x."user" = y."user" WHERE x.type = {4 if _wide else 2} AND y.type = {3 if _wide else 0} AND {allen_sql(NAMED[_name], "x.s", "x.e", "y.s", "y.e")}' + (' AND x."user" < 10' if _wide else ""),
-    )
+    for _few in (True, False) if _wide else (False,):
+        add(
+            f"allen_{_name}{'_all' if _wide and not _few else ''}",
+            query(rule([V.u, V.a, V.b], atom("EventSpan", user=V.u, type=4 if _wide else 2, during=V.a), atom("EventSpan", user=V.u, type=3 if _wide else 0, during=V.b), allen(_name, V.a, V.b), *([lt(V.u, 10)] if _few else []))),
+            ["user", "a", "b"],
+            f'SELECT DISTINCT x."user", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM span_ x JOIN span_ y ON x."user" = y."user" WHERE x.type = {4 if _wide else 2} AND y.type = {3 if _wide else 0} AND {allen_sql(NAMED[_name], "x.s", "x.e", "y.s", "y.e")}' + (' AND x."user" < 10' if _few else ""),
+        )
 for _name in ("starts", "during", "finishes", "overlaps", "contains|meets"):
     _mask = 0
     for _x in _name.split("|"):
         _mask |= NAMED[_x]
-    add(
-        f"ship_{_name.replace('|', '_or_')}",
-        query(rule([V.p, V.a, V.b], atom("Shipment", part=V.p, during=V.a), atom("Shipment", part=V.p, during=V.b), lt(V.p, 12), allen(_mask, V.a, V.b))),
-        ["part", "a", "b"],
-        f"SELECT DISTINCT x.part, x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM ship_ x JOIN ship_ y ON x.part = y.part WHERE x.part < 12 AND {allen_sql(_mask, 'x.s', 'x.e', 'y.s', 'y.e')}",
-    )
+    for _few in (True, False):
+        add(
+            f"ship_{_name.replace('|', '_or_')}{'' if _few else '_all'}",
+            query(rule([V.p, V.a, V.b], atom("Shipment", part=V.p, during=V.a), atom("Shipment", part=V.p, during=V.b), *([lt(V.p, 12)] if _few else []), allen(_mask, V.a, V.b))),
+            ["part", "a", "b"],
+            f"SELECT DISTINCT x.part, x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM ship_ x JOIN ship_ y ON x.part = y.part WHERE {'x.part < 12 AND ' if _few else ''}{allen_sql(_mask, 'x.s', 'x.e', 'y.s', 'y.e')}",
+        )
 add("allen_literal", query(rule([V.u, V.d], atom("EventSpan", user=V.u, during=V.d), allen("during|starts|finishes", V.d, P.day))), ["user", "during"], f'SELECT DISTINCT "user", s AS during_start, e AS during_end FROM span_ WHERE (s > {T0} AND e < {T0 + 24 * HOUR}) OR (s = {T0} AND e < {T0 + 24 * HOUR}) OR (s > {T0} AND e = {T0 + 24 * HOUR})', day=(T0, T0 + 24 * HOUR))
 add("interval_eq", query(rule([V.u, V.w, V.a], atom("EventSpan", user=V.u, type=V.k, during=V.a), atom("EventSpan", user=V.w, type=V.j, during=V.b), eq(V.a, V.b), lt(V.u, V.w))), ["u", "w", "during"], 'SELECT DISTINCT x."user" AS u, y."user" AS w, x.s AS during_start, x.e AS during_end FROM span_ x JOIN span_ y ON x.s = y.s AND x.e = y.e AND x."user" < y."user"')
 add("interval_ne", query(rule([V.o, V.a, V.b], atom("Shipment", order=V.o, during=V.a), atom("Shipment", order=V.o, during=V.b), ne(V.a, V.b), lt(V.o, 200))), ["order", "a", "b"], 'SELECT DISTINCT x."order", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM ship_ x JOIN ship_ y ON x."order" = y."order" WHERE (x.s <> y.s OR x.e <> y.e) AND x."order" < 200')
+add("interval_ne_all", query(rule([V.o, V.a, V.b], atom("Shipment", order=V.o, during=V.a), atom("Shipment", order=V.o, during=V.b), ne(V.a, V.b))), ["order", "a", "b"], 'SELECT DISTINCT x."order", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM ship_ x JOIN ship_ y ON x."order" = y."order" WHERE (x.s <> y.s OR x.e <> y.e)')
 add("duration_filter", query(rule([V.o, V.l], atom("Shipment", order=V.o, line=V.l, during=V.d), gt(duration(V.d), 1_000 * 24 * HOUR))), ["order", "line"], f'SELECT DISTINCT "order", line FROM ship_ WHERE e - s > {1_000 * 24 * HOUR}')
 add("sum_duration", query(rule([V.p, sum_(duration(V.d))], atom("Shipment", part=V.p, order=V.o, line=V.l, during=V.d))), ["part", "micros"], "SELECT part, CAST(sum(e - s) AS DECIMAL(20,0)) AS micros FROM ship_ GROUP BY part")
 add("group_by_duration", query(rule([duration(V.d), count()], atom("Shipment", order=V.o, line=V.l, part=V.p, during=V.d), lt(V.p, 20))), ["micros", "n"], "SELECT CAST(e - s AS DECIMAL(20,0)) AS micros, count(*) AS n FROM ship_ WHERE part < 20 GROUP BY 1")
+add("group_by_duration_all", query(rule([duration(V.d), count()], atom("Shipment", order=V.o, line=V.l, part=V.p, during=V.d))), ["micros", "n"], "SELECT CAST(e - s AS DECIMAL(20,0)) AS micros, count(*) AS n FROM ship_ GROUP BY 1")
 
 
 def _islands(keys: str, source: str, order: str = "s, e") -> str:
