@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.sources.scratch import drop_scratch, materialize, scratch_path
@@ -31,9 +31,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """16 bytes that tell rows apart by id and text; rows that share both are one document."""
+    a, b = F.col(doc_id), F.col(text)
+    return F.unhex(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (F.xxhash64(a, b), F.xxhash64(b, a)))))
+
+
 def crc_mod(col: str, mod: int):
     """crc32 of the value's decimal text, modulo ``mod``; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "SPACE", "WORD", "bounded_batches", "crc_mod", "drop_scratch", "materialize", "read", "scratch_path"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "SPACE", "WORD", "bounded_batches", "crc_mod", "drop_scratch", "materialize", "read", "row_key", "scratch_path"]
