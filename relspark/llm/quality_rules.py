@@ -32,6 +32,9 @@ COMMON_WORDS = {
 MIXED = ["the", "of", "der", "und", "le", "et", "el", "los"]
 N_COMMON = len(MIXED)
 
+#: References (about 200 bytes a language) are broadcast up to this many languages and joined by a shuffle beyond.
+MAX_BROADCAST_ROWS = 10_000
+
 #: lower-case ASCII, white space, upper-case ASCII, digits, symbols, other ASCII, the rest.
 CHAR_CLASSES = ["lower", "space", "upper", "digit", "symbol", "punct", "other"]
 
@@ -146,10 +149,11 @@ def quality_rules(
     good = stats.where(~F.col("base_failed"))
     by_lang = good.groupBy("lang_").agg(*sums, F.sum("n_words").alias("total")).select("lang_", *arrays).where((F.col("total") >= min_reference_words) & (F.col("lang_") != ""))
     pooled = good.groupBy().agg(*sums, F.sum("n_words").alias("total")).select(*(a.alias(n) if isinstance(a, Column) else F.col(a) for a, n in zip(arrays, ("all_chars", "all_words", "total"), strict=True))).drop("total")
-    # One row of pooled sums and one row a language: both are aggregates whose size doesn't follow the documents.
-    refs = F.broadcast(by_lang.drop("total"))
-    out = stats.join(refs, "lang_", "left").withColumn("one_", F.lit(1)).join(F.broadcast(pooled.withColumn("one_", F.lit(1))), "one_")
-    out = out.withColumn("ref_chars", F.coalesce("ref_chars", "all_chars")).withColumn("ref_words", F.coalesce("ref_words", "all_words"))
+    refs = materialize(by_lang.drop("total"), "quality-references")
+    refs = F.broadcast(refs) if refs.count() <= MAX_BROADCAST_ROWS else refs
+    # The pooled sums are one row: a scalar subquery, not a join.
+    out = stats.join(refs, "lang_", "left").withColumn("pooled_", pooled.select(F.struct("all_chars", "all_words").alias("p")).scalar())
+    out = out.withColumn("ref_chars", F.coalesce("ref_chars", "pooled_.all_chars")).withColumn("ref_words", F.coalesce("ref_words", "pooled_.all_words"))
     out = out.withColumn("char_distance", F.expr(f"coalesce({_js_distance('chars_', 'ref_chars')}, 0D)"))
     out = out.withColumn("word_distance", F.expr(f"coalesce({_js_distance('words_', 'ref_words')}, 0D)"))
     far = (F.col("n_words") >= min_words) & ((F.col("char_distance") > max_char_distance) | (F.col("word_distance") > max_word_distance))
@@ -159,5 +163,42 @@ def quality_rules(
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    out = quality_rules(docs, keep=["doc_id"])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return quality_rules(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_LISTS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in COMMON_WORDS.items())
+_FAR = """SELECT r, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN 0.5 * p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(q / ((p + q) / 2)) ELSE 0 END))) AS d
+  FROM (SELECT r, v::DOUBLE / sum(v) OVER (PARTITION BY r) AS p, ref::DOUBLE / sum(ref) OVER (PARTITION BY r) AS q FROM (
+    SELECT r, unnest({v}) AS v, unnest({ref}) AS ref FROM judged)) GROUP BY r"""
+ORACLE = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, CASE lang {_LISTS} ELSE {MIXED} END AS k FROM t),
+grams AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+twice AS (SELECT r, i FROM grams JOIN (SELECT r, g FROM grams GROUP BY r, g HAVING count(*) > 1) USING (r, g)),
+repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r),
+counts AS (
+  SELECT r, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words,
+    [length(regexp_replace(text, '[^a-z]', '', 'g')), length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')), length(regexp_replace(text, '[^A-Z]', '', 'g')), length(regexp_replace(text, '[^0-9]', '', 'g')),
+     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), length(regexp_replace(text, '[^\x00-\x7F]|[a-zA-Z0-9\x20\x09-\x0D#*$%&|<>]', '', 'g')), length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))] AS chars,
+    list_transform(k, lambda x: len(list_filter(w, lambda y: y = x))) AS commons
+  FROM w LEFT JOIN repeats USING (r)),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_append(commons, n_words - list_sum(commons)) AS words FROM counts),
+long AS (SELECT lang, n_words, unnest(range(1, {len(CHAR_CLASSES) + 1})) AS j, chars, words FROM based WHERE NOT base_failed),
+long2 AS (SELECT lang, n_words, unnest(range(1, {N_COMMON + 2})) AS j, words FROM based WHERE NOT base_failed),
+langs AS (SELECT lang FROM based WHERE NOT base_failed AND lang <> '' GROUP BY lang HAVING sum(n_words) >= 2000),
+ref_c AS (SELECT lang, list(s ORDER BY j) AS v FROM (SELECT lang, j, sum(chars[j]) AS s FROM long GROUP BY lang, j) GROUP BY lang),
+ref_w AS (SELECT lang, list(s ORDER BY j) AS v FROM (SELECT lang, j, sum(words[j]) AS s FROM long2 GROUP BY lang, j) GROUP BY lang),
+all_c AS (SELECT list(s ORDER BY j) AS v FROM (SELECT j, sum(chars[j]) AS s FROM long GROUP BY j)),
+all_w AS (SELECT list(s ORDER BY j) AS v FROM (SELECT j, sum(words[j]) AS s FROM long2 GROUP BY j)),
+judged AS (
+  SELECT b.*, CASE WHEN l.lang IS NULL THEN (SELECT v FROM all_c) ELSE c.v END AS ref_chars, CASE WHEN l.lang IS NULL THEN (SELECT v FROM all_w) ELSE x.v END AS ref_words
+  FROM based b LEFT JOIN langs l ON l.lang = b.lang LEFT JOIN ref_c c ON c.lang = b.lang LEFT JOIN ref_w x ON x.lang = b.lang),
+far_c AS ({_FAR.format(v="chars", ref="ref_chars")}),
+far_w AS ({_FAR.format(v="words", ref="ref_words")})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= 50 AND (coalesce(c.d, 0) > 0.32 OR coalesce(x.d, 0) > 0.4)) AS kept
+FROM judged LEFT JOIN far_c c USING (r) LEFT JOIN far_w x USING (r)
+"""
