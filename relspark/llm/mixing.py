@@ -5,9 +5,17 @@ source's budget is met by taking all documents whose hash is below the
 source's threshold, so larger budgets take supersets (nested thresholds) and no
 row is ever sorted.  The threshold is found by histograms: tokens are summed by
 source and leading hash bits, the bucket where the running sum crosses the
-budget is found, and only the rows of that bucket are summed again by the next
-bits, until all bits are used.  Each histogram has at most ``2 ** LEVEL_BITS``
-rows a source.
+budget is found, its rows alone are written apart and summed again by the next
+bits, until all bits are used.  The sizes are read three times in all: for the
+first histogram (which also has the sources' sums), for the boundary buckets and
+for the result.
+
+Targets are ``min(weight * level, max_repeat * size)`` with the one level at
+which they add up to ``share`` of all sizes: what resharing the excess by weight
+until no target is above its limit leads to.  Each round of resharing is one sum
+over the sources; a round that makes no more source full is the last.  Sources
+are ranked for their weights by range partitions, whose counts alone (one row a
+partition) meet in one task.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last
 in order.  Rows that agree in id and text have one hash and are taken together.
@@ -19,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspark.llm.common import WORD, materialize
+from relspark.llm.common import WORD, drop_scratch, materialize
 
-LEVEL_BITS = 12
-HASH_BITS = 60
+#: Bits of the histograms, one after the other.
+LEVELS = (12, 16, 16, 16)
+HASH_BITS = sum(LEVELS)
 #: Tables of one row a source are broadcast up to this many rows, and joined by a shuffle beyond.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -31,47 +40,52 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-def source_targets(sized: DataFrame, weights: list[int], share: float, max_repeat: float) -> DataFrame:
-    """One row a source: its size, target, whole repeats and the budget that is left for the threshold.
-
-    Targets are ``min(weight * level, max_repeat * size)`` with the one level
-    at which they add up to ``share`` of all sizes: what resharing the excess by
-    weight until no target is above its limit leads to.
-    """
-    per = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    wts = F.array(*(F.lit(w).cast("long") for w in weights))
-    per = per.withColumn("weight", F.element_at(wts, F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1))
-    by_ratio = Window.orderBy(F.col("ratio"), F.col("source").isNull(), "source")
-    whole = Window.partitionBy()
-    per = per.withColumn("ratio", F.lit(max_repeat) * F.col("source_size") / F.col("weight"))
-    upto = by_ratio.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumn("capped", F.sum("source_size").over(upto)).withColumn("used", F.sum("weight").over(upto))
-    per = per.withColumn("all_size", F.sum("source_size").over(whole)).withColumn("all_weight", F.sum("weight").over(whole))
-    # The level if this source and those of smaller ratio are at their limits; the last one that the level still reaches decides.
-    per = per.withColumn("next_level", F.when(F.col("all_weight") > F.col("used"), (F.lit(share) * F.col("all_size") - F.lit(max_repeat) * F.col("capped")) / (F.col("all_weight") - F.col("used"))))
-    per = per.withColumn("full", F.col("ratio") <= F.coalesce(F.lag("next_level").over(by_ratio), F.lit(share) * F.col("all_size") / F.col("all_weight")))
-    per = per.withColumn("level", F.coalesce(F.max(F.when(F.col("full"), F.struct("used", "next_level"))).over(whole)["next_level"], F.when(F.max(F.col("full").cast("int")).over(whole) == 0, F.lit(share) * F.col("all_size") / F.col("all_weight"))))
-    target = F.when(F.col("full"), F.lit(max_repeat) * F.col("source_size")).otherwise(F.col("weight") * F.col("level"))
+def ranked_sources(sizes: DataFrame, weights: list[int]) -> DataFrame:
+    """(key, source_size, weight): weights go round by code points of the sources, null last."""
+    last = F.col("key") == ""
+    rows = sizes.repartitionByRange(last, "key").sortWithinPartitions(last, "key").withColumn("at", F.monotonically_increasing_id())
+    rows = materialize(rows.select("key", "source_size", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")), "mix-ranked")
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    weight = F.element_at(F.array(*(F.lit(w).cast("long") for w in weights)), (F.pmod(F.col("before") + F.col("at"), F.lit(len(weights))) + 1).cast("int"))
+    return rows.join(F.broadcast(parts), "part").select("key", "source_size", weight.alias("weight"))
+
+
+def source_targets(sizes: DataFrame, weights: list[int], share: float, max_repeat: float) -> DataFrame:
+    """One row a source: its size, target, whole repeats and the budget that is left for the threshold."""
+    per = materialize(ranked_sources(sizes, weights).withColumn("ratio", F.lit(max_repeat) * F.col("source_size") / F.col("weight")), "mix-weighed")
+    all_size, all_weight = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level, full = share * float(all_size) / all_weight if all_weight else 0.0, 0
+    while True:
+        n, capped, used = per.where(F.col("ratio") <= F.lit(level)).agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if n == full or used == all_weight:
+            break
+        full, level = n, (share * float(all_size) - max_repeat * float(capped)) / float(all_weight - used)
+    is_full = F.col("ratio") <= F.lit(level)
+    target = F.when(is_full, F.lit(max_repeat) * F.col("source_size")).otherwise(F.col("weight") * F.lit(level))
     per = per.withColumn("target", target.cast("double"))
     per = per.withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     return per.select("key", "source_size", "target", "base", (F.col("target") - F.col("base") * F.col("source_size")).alias("budget"))
 
 
-def thresholds(sized: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame:
-    """Per source the hash below which documents are taken once more."""
-    bound = targets.select("key", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
-    shift = HASH_BITS
-    while shift > 0:
-        last, shift = shift, shift - LEVEL_BITS
-        rows = sized.select("key", "size", "h").join(_small(bound, n_sources), "key")
-        if last < HASH_BITS:
-            rows = rows.where(F.shiftright("h", last) == F.col("prefix"))
+def _crossing(hist: DataFrame) -> DataFrame:
+    """Of a histogram (key, budget, before, bucket, s) the bucket of each key where the running sum crosses its budget."""
+    run = Window.partitionBy("key").orderBy("bucket")
+    hist = hist.withColumn("upto", F.col("before") + F.sum("s").over(run)).withColumn("start", F.col("upto") - F.col("s"))
+    return hist.where((F.col("start") <= F.col("budget")) & (F.col("upto") > F.col("budget"))).select("key", "budget", F.col("bucket").alias("prefix"), F.col("start").alias("before"), "s")
+
+
+def thresholds(sized: DataFrame, hist: DataFrame, targets: DataFrame, n_sources: int) -> DataFrame:
+    """Per source the hash below which documents are taken once more; ``hist`` is the histogram of the leading bits."""
+    shift = HASH_BITS - LEVELS[0]
+    hist = hist.join(_small(targets.select("key", "budget"), n_sources), "key").withColumn("before", F.lit(0).cast("long"))
+    bound, rows = materialize(_crossing(hist), "mix-bound"), sized.select("key", "size", "h")
+    for bits in LEVELS[1:]:
+        inside = rows.join(_small(bound.drop("s"), n_sources), "key").where(F.shiftright("h", shift) == F.col("prefix"))
+        rows = materialize(inside.select("key", "size", "h", "budget", "before"), "mix-boundary")
+        shift -= bits
         hist = rows.groupBy("key", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("s"), F.first("budget").alias("budget"), F.first("before").alias("before"))
-        run = Window.partitionBy("key").orderBy("bucket")
-        hist = hist.withColumn("upto", F.col("before") + F.sum("s").over(run)).withColumn("start", F.col("upto") - F.col("s"))
-        hist = hist.where((F.col("start") <= F.col("budget")) & (F.col("upto") > F.col("budget")))
-        bound = materialize(hist.select("key", "budget", F.col("bucket").alias("prefix"), F.col("start").alias("before"), "s"), "mix-bound")
+        bound, rows = materialize(_crossing(hist), "mix-bound"), rows.select("key", "size", "h")
     # The crossing documents go whichever way ends nearer to the budget.
     return bound.select("key", F.when(2 * F.col("before") + F.col("s") < 2 * F.col("budget"), F.col("prefix") + 1).otherwise(F.col("prefix")).alias("cut"))
 
@@ -94,10 +108,14 @@ def mix_sources(
         F.expr(f"cast(conv(substr(md5(concat(coalesce(cast(`{doc_id}` AS string), ''), ':', md5(coalesce(`{text}`, '')))), 1, 15), 16, 10) AS bigint)").alias("h"),
     )
     sized = materialize(sized, "mix-sized")
-    targets = materialize(source_targets(sized, list(weights), share, max_repeat), "mix-targets")
+    hist = materialize(sized.groupBy("key", F.shiftright("h", HASH_BITS - LEVELS[0]).alias("bucket")).agg(F.sum("size").alias("s")), "mix-histogram")
+    targets = materialize(source_targets(hist.groupBy("key").agg(F.sum("s").alias("source_size")), list(weights), share, max_repeat), "mix-targets")
     n = targets.count()
-    cuts = thresholds(sized, targets, n)
-    out = sized.join(_small(targets, n), "key").join(_small(cuts, n), "key", "left")
+    cuts = thresholds(sized, hist, targets, n)
+    plan = materialize(targets.join(_small(cuts, n), "key", "left").select("key", "source_size", "target", "base", "cut"), "mix-plan")
+    for x in (hist, targets):
+        drop_scratch(x)
+    out = sized.join(_small(plan, n), "key")
     extra = F.coalesce((F.col("h") < F.col("cut")).cast("long"), F.lit(0))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("base") + extra)).alias("taken"))
 
