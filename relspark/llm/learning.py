@@ -12,6 +12,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, max_r
 
     ``learn`` is a condition on the id column: only rows that meet it are ever
     seen.  Rows of several labels take the larger; null labels and ids are left out.
+    An id of several texts gives one; texts that don't fit into the bytes left are skipped.
     """
     y = labels.where(learn & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("y"))
     order = F.md5(F.concat(F.lit("fit:"), F.col(doc_id).cast("string")))
@@ -22,14 +23,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, max_r
     spark = docs.sparkSession
     picked = spark.createDataFrame([(r.id_, r.y, r.o_) for r in rows], "id_ long, y int, o_ string")
     found = docs.select(F.col(doc_id).alias("id_"), F.coalesce(F.col(text), F.lit("")).alias("t_")).join(F.broadcast(picked), "id_")
-    sizes = found.groupBy("id_", "o_").agg(F.sum(F.octet_length("t_")).alias("n")).collect()
-    total, ids = 0, []
+    # One text of each id, the first by its hash; a text that doesn't fit is left out and the next ones are tried.
+    sizes = found.select("id_", "o_", F.md5("t_").alias("m_"), F.octet_length("t_").alias("n")).groupBy("id_", "o_").agg(F.min(F.struct("m_", "n")).alias("t")).collect()
+    total, texts = 0, []
     for r in sorted(sizes, key=lambda r: r.o_):
-        total += r.n
-        if total > max_bytes and ids:
-            break
-        ids.append(r.id_)
-    out = found.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "id_ long")), "id_", "left_semi")
+        if total + r.t.n <= max_bytes:
+            total += r.t.n
+            texts.append((r.id_, r.t.m_))
+    if not texts:
+        return []
+    out = found.withColumn("m_", F.md5("t_")).join(F.broadcast(spark.createDataFrame(texts, "id_ long, m_ string")), ["id_", "m_"], "left_semi").dropDuplicates(["id_"])
     return sorted(((r.o_, r.t_, r.y) for r in out.select("o_", "t_", "y").collect()), key=lambda r: r[:2])
 
 
