@@ -15,12 +15,17 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_mix_sources": mixing.query,
+    # Another mode of op2.
+    "decontamination_proximity": decontamination.proximity_query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
     "op2_decontamination": decontamination.ORACLE,
+    "op5_secret_scan": secrets.ORACLE,
+    "op6_quality_rules": quality_rules.ORACLE,
     "op7_chat_rotation": chat_rotation.ORACLE,
     "op8_near_dedup": near_dedup.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "decontamination_proximity": decontamination.PROXIMITY_ORACLE,
 }

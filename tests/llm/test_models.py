@@ -41,6 +41,56 @@ def test_extraction(spark):
         assert got[i].n_chars == len(want) and got[i].url == f"u{i}"
 
 
+def test_html_edge_cases(spark):
+    """Repeated rows, an empty table, and elements that are part of an article's text."""
+    math = "<article><p>Where <math><mi>x</mi></math> and <object>an object</object> meet <svg><text>a label</text></svg> in a sentence that is long enough.</p></article>"
+    df = spark.createDataFrame([(1, "u", math, 0), (1, "u", math, 0), (None, None, math, 0)], "page_id long, url string, html string, n_chars int")
+    got = hx.extract_pages(df).collect()
+    assert [r.text for r in got] == ["Where x and an object meet a label in a sentence that is long enough."] * 3
+    assert hx.extract_pages(df.limit(0)).isEmpty()
+
+
+def test_the_cut_decides():
+    """Blocks whose own cost says otherwise follow their region and neighbours, and so does the text."""
+    pages = [h for h, _ in PAGES.values() if h]
+    changed, texts = 0, 0
+    for page in pages:
+        found = hx.blocks(page)
+        own, ties = hx.graph(found)
+        cut, alone = hx.min_cut(own, ties)[: len(found)], [g > 0 for g in own[: len(found)]]
+        changed += sum(a != b for a, b in zip(cut, alone, strict=True))
+        texts += cut != alone
+    assert changed >= 6 and texts >= 2
+    # Long blocks outweigh a weak hint, and one short block doesn't.
+    body = f"<p>{ARTICLE}</p>" * 6
+    assert hx.extract(f'<div class="wrapper right-sidebar">{body}</div>').count("First paragraph") == 6
+    assert hx.extract('<div class="wrapper right-sidebar"><p>Hello to all of you.</p></div>') == ""
+    assert hx.extract(f'<body class="no-sidebar"><div class="content with-sidebar">{body}</div></body>').count("First") == 6
+    assert hx.extract(f'<div id="comments"><div class="content">{body}</div></div>') == ""
+
+
+def test_fitted_costs():
+    pages = [f"<nav><a>Link {i}</a></nav><article><p>{ARTICLE} {i}</p><p>{ARTICLE}</p></article><footer>Site {i}</footer>" for i in range(200)]
+    w, b = hx.fit(pages)
+    assert w is not hx.WEIGHTS and w[0] > 0 > w[1]
+    assert hx.fit(pages[:5])[0] is hx.WEIGHTS
+    plain = f"<div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><div><a>One</a> <a>Two</a></div>"
+    assert hx.extract(plain, (w, b)) == f"{ARTICLE} {ARTICLE}"
+
+
+def test_deep_nesting():
+    """Time grows with the page, whatever its nesting."""
+    import time
+
+    def seconds(page):
+        began = time.perf_counter()
+        hx.extract(page)
+        return time.perf_counter() - began
+
+    for page in ("<div>x", "<b>x<h1>y", "<ul><li>x", "<p><td><b>x"):
+        assert seconds(page * 40_000) < 60 * max(0.05, seconds(page * 2_000))
+
+
 def test_long_page():
     page = "<article>" + "".join(f"<p>Paragraph number {i} of a very long page.</p>" for i in range(20_000)) + "</article>"
     assert hx.extract(page).count("Paragraph") == 20_000

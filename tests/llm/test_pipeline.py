@@ -45,7 +45,7 @@ def test_stages(spark, tmp_path):
     assert len(ids(kept)) == docs.count() - 3
 
     once = corpus_pipeline.dedup_stage(spark, kept, folder).cache()
-    want = brute_components(ids(kept), 5)
+    want = brute_components(ids(kept), corpus_pipeline.SHINGLE)
     assert [i for i, _ in ids(once)] == sorted(i for i, (_, c) in want.items() if i == c)
     assert not {103, 104} & {i for i, _ in ids(once)}
 

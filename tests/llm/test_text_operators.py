@@ -73,6 +73,25 @@ def test_decontamination(spark, docs):
     assert decontamination.contamination(empty_of(docs), bench).isEmpty()
 
 
+def test_decontamination_in_parts(spark, docs, monkeypatch):
+    """A benchmark beyond one part gives what one part gives, and items are cut into overlapping pieces."""
+    texts = [t for _, t, _, _ in rows_of(docs) if t]
+    bench = spark.createDataFrame([(str(k), t[:400]) for k, t in enumerate(texts[:25])] + [("all", " ".join(texts[:8]))], "item_id string, text string")
+    for more in ({}, {"width": 4, "slop": 3}):
+        want = sorted(map(tuple, decontamination.contamination(docs, bench, **more).collect()), key=repr)
+        with monkeypatch.context() as m:
+            m.setattr(decontamination, "PART_BYTES", 2000)
+            m.setattr(decontamination, "PART_WORDS", 40)
+            assert sum(1 for _ in decontamination.parts_of(bench.selectExpr("item_id AS i", "text AS t"), 10)) > 5
+            assert sorted(map(tuple, decontamination.contamination(docs, bench, **more).collect()), key=repr) == want
+
+
+def test_proximity_stays_in_a_document(spark):
+    rows = spark.createDataFrame([(1, "zz aa"), (2, "bb yy"), (3, "aa x x bb")], "doc_id long, text string").coalesce(1)
+    got = decontamination.contamination(rows, spark.createDataFrame([(1, "aa bb")], "item_id long, text string"), slop=64)
+    assert {r.doc_id: r.contaminated for r in got.collect()} == {1: False, 2: False, 3: True}
+
+
 def test_proximity():
     import numpy as np
 
@@ -135,6 +154,45 @@ def test_near_dedup_blocks(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == want
 
 
+def test_near_dedup_thinning(spark, monkeypatch):
+    """A dense group whose members mostly can't have a link: these stay out of the comparison and the result is exact."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    r = random.Random(13)
+    base, rows = [f"b{i}" for i in range(100)], []
+    for i in range(120):
+        text = list(base)
+        for k in r.sample(range(100), r.choice([0, 2, 4, 5, 6, 7, 9])):
+            text[k] = f"e{r.randrange(10_000)}" if i % 3 else f"e{r.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    rows += [(5, "an id of two texts, the second near to nothing at all"), (6, rows[6][1])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    want = brute_components(rows[:120], 4)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got if x.n_shingles > 20} == want
+    assert len(got) == len(rows) and {(x.component_id, x.kept, x.stays) for x in got if x.n_shingles < 20} == {(5, True, True)}
+    rests = {x.component_id: 0 for x in got}
+    for x in {(x.component_id, bytes(x.row_key)): x for x in got}.values():
+        rests[x.component_id] += x.stays
+    assert all(n == (2 if c == want[5][1] == 5 else 1) for c, n in rests.items())
+
+
+def test_local_stars():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 60):
+        x, y = rng.integers(0, 40, n), rng.integers(0, 40, n)
+        a, b = near_dedup.local_stars(x, y)
+
+        def parts(edges):
+            lab = {k: k for k in range(40)}
+            for _ in range(40):
+                for i, j in edges:
+                    lab[i] = lab[j] = min(lab[i], lab[j])
+            return lab
+
+        assert parts(list(zip(x, y, strict=True))) == parts(list(zip(a, b, strict=True)))
+
+
 def test_pigeonhole():
     """Every pair of signatures within the distance shares an index key, and the first shared slot is right."""
     import numpy as np
@@ -178,6 +236,62 @@ def test_secret_scan(spark):
     assert secrets.secret_scan(df.limit(0)).isEmpty()
 
 
+def brute_secrets(rows, max_owners=2, max_repos=8):
+    """Everything that the scan says of each row, by a plain reading of the patterns."""
+    assign = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    found, owners, repos = [], {}, {}
+    for _, t, owner in rows:
+        t = t or ""
+        base = [(m.start(), 0, m.end(), m[1]) for m in assign.finditer(t) if len(m[1]) >= 8]
+        base += [(m.start(), 1, m.end(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        base += [(m.start(), 2, m.end(), m[0]) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
+        more = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t) if len(m[0]) >= 20 and secrets.looks_random(m[0], 3.5) and not any(s < m.end() and m.start() < e for s, _, e, _ in base)]
+        found.append(sorted(base + more))
+        for *_, v in base + more:
+            owners.setdefault(v, set()).add(owner)
+            repos.setdefault(v, set()).add(t)
+    out = []
+    for (i, _, _), spans in zip(rows, found, strict=True):
+        live = {v for *_, v in spans if len(owners[v]) <= max_owners and len(repos[v]) <= max_repos}
+        text = lambda xs: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e, _ in xs)
+        shown = [x for x in spans if x[1] < 3 or x[3] in live]
+        counts = [sum(x[1] == k for x in spans) for k in range(3)]
+        out.append((i, *counts, hashlib.sha256(text([x for x in spans if x[1] < 3]).encode()).hexdigest(), text(shown), sum(x[3] in live for x in shown), sum(x[3] not in live for x in shown)))
+    return out
+
+
+def test_secrets_by_brute_force(spark):
+    """Values of one and of many owners and texts: live, widely copied, and tokens beside the base patterns."""
+    r = random.Random(31)
+    chars = "ABCDEFabcdef0123456789+/_=-"
+    values = ["".join(r.choice(chars) for _ in range(r.randrange(18, 45))) for _ in range(40)]
+    forms = ["password: {}", "see {} there", 'api_key="{}"', "{}", "token={} secret={}", "AKIA{}", "x{}y z {}"]
+    rows = [(k, f"n{r.randrange(90)} " + r.choice(forms).replace("{}", r.choice(values[: r.choice([3, 40])])) + r.choice(["", " end", "\n" + r.choice(values)]), r.choice(["a", "b", "c", "d", None])) for k in range(400)]
+    rows += rows[:5] + [(900, None, "a"), (901, "", "b"), (902, "token=" * 2000 + "a1B2c3D4e5F6g7H8i9J0" * 3, "a")]
+    got = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example").collect()
+    want = brute_secrets(rows)
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert any("owned" in x[5] for x in want) and any(x[6] for x in want) and any(x[7] for x in want)
+
+
+def test_repositories_make_an_example(spark):
+    rows = [(k, f"doc {k} password: placeholder1", "one") for k in range(9)] + [(50, "doc 50 password: really-mine1", "one")] * 20
+    got = {x.doc_id: x for x in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].n_example == 1 and got[0].n_live == 0 and got[50].n_live == 1
+
+
+def test_other_tokens_in_linear_time():
+    import time
+
+    def seconds(n):
+        text = "token=abcdefgh1 zZ9yX8wV7uT6sR5qP4oN3 " * n
+        began = time.perf_counter()
+        assert len(secrets.other_tokens(text, secrets.base_spans(text))) == n
+        return time.perf_counter() - began
+
+    assert seconds(20_000) < 40 * max(0.01, seconds(2_000))
+
+
 def test_secrets_at_the_start_of_a_text(spark):
     """A text that begins with its secret, after one that ends within a word, in one slice."""
     hashed, token = "0123456789abcdef" * 2, "Zq8Kx2Lm5Np7Rt3Vw9Yb4Cd6"
