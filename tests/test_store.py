@@ -140,6 +140,76 @@ def test_stream_and_derived(spark, tmp_path):
     assert maintain(store, "Busy", compute).changed == 1 and store.snapshot().count("Busy") == 0
 
 
+def test_two_handles(spark, tmp_path):
+    """Reserves and writes of two handles, taken in turns, lose nothing and give no id twice."""
+    path = f"file://{tmp_path}/s"
+    a = Store.create(spark, path, SCHEMA)
+    b = Store.open(spark, path)
+    put = lambda i: lambda d: d.insert("Room", [{"id": i, "open": (0, 100)}])
+    assert a.write(put(5)).generation == 1
+    assert list(b.reserve("Room", 2)) == [6, 7]  # the stale handle sees the write
+    assert list(a.reserve("Room")) == [8] and b.write(put(6)).generation == 2
+    assert b.write(put(7), witness=1).status == "moved"
+
+    def overtaken(delta):
+        if not seen:
+            assert b.write(put(9)).generation == 3
+        seen.append(1)
+        put(10)(delta)
+
+    seen = []
+    assert a.write(overtaken).generation == 4 and len(seen) == 2
+
+    def reserving(delta):  # an id reserved meanwhile is no reason to start again
+        more.append(b.reserve("Room", 1)[0])
+        put(20)(delta)
+
+    more = []
+    assert a.write(reserving).generation == 5 and more == [11]
+    at = Store.open(spark, path).snapshot()
+    assert {r.id for r in at.scan("Room").collect()} == {5, 6, 9, 10, 20} and at.generation == 5
+    assert list(a.reserve("Room")) == [21]
+    assert not a.files.create("manifest-000000000000.json", "{}")  # manifests are never replaced
+    assert a.write(lambda d: put(30)(d), witness=5).generation == 6
+
+
+def test_one_order_of_facts_and_frames(spark, tmp_path):
+    store = Store.create(spark, f"file://{tmp_path}/s", SCHEMA)
+    fact = {"id": 1, "open": (0, 9)}
+    one = facts_frame(spark, ROOM, [fact])
+
+    def change(*steps):
+        def of(delta):
+            for kind, what in steps:
+                getattr(delta, kind)("Room", what)
+                assert delta.contains("Room", **fact) == (kind == "insert")
+
+        return of
+
+    for steps in ([("insert", one), ("delete", one)], [("insert", one), ("delete", [fact])], [("insert", [fact]), ("delete", one)], [("delete", one), ("insert", [fact]), ("delete", [fact])]):
+        assert store.write(change(*steps)).generation == store.meta["generation"] and store.snapshot().count("Room") == 0
+    assert store.write(change(("delete", one), ("insert", one))).changed == 1
+    assert store.write(change(("insert", [fact]), ("delete", one), ("insert", one))).changed == 0
+    assert store.write(change(("insert", one), ("delete", one))).changed == 1 and store.snapshot().count("Room") == 0
+
+
+def test_changes_are_written_as_deltas(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("relspark.sources.store.MAX_DELTAS", 4)
+    store = Store.create(spark, f"file://{tmp_path}/s", SCHEMA)
+    want = set()
+    for i in range(8):
+        def change(delta, i=i):
+            delta.insert("Room", [{"id": i, "open": (0, 9)}])
+            if i % 3 == 2:
+                delta.delete("Room", [{"id": i - 1, "open": (0, 9)}])
+
+        assert store.write(change)
+        want = want - {i - 1} | {i} if i % 3 == 2 else want | {i}
+        assert {r.id for r in store.snapshot().scan("Room").collect()} == want
+        assert len(store.meta["folders"]["Room"]) <= 6
+    assert len(store.compact(f"file://{tmp_path}/c").meta["folders"]["Room"]) == 1
+
+
 def test_every_violation_is_kept(spark, tmp_path):
     """More violations than are shown, and a hot statement before another: all of them, from write, stream, verify and create."""
     n = 12_000
@@ -160,7 +230,7 @@ def test_every_violation_is_kept(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     commit_batches(stream, store, "Booking", f"{tmp_path}/check", rejected).trigger(availableNow=True).start().awaitTermination(120)
     whole(rejected[0][1], want)
-    store._put("Booking", rows, store.meta)
+    store.meta["folders"]["Booking"] = [["insert", store._put("Booking", rows)]]
     assert {v["finding"] for v in store.verify()} == {"violation"}
     whole(store.verify(), want)
     with pytest.raises(StoreError) as e:
