@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from relspark.operators.rules import Bound, RuleCompiler, lit
 from relspark.plans.rewrite import Options, collapse
 from relspark.plans.validate import TypedQuery, validate
 from relspark.schema import Schema
+from relspark.sources.scratch import materialize
 from relspark.types import Interval, fits, ray_end, spark_type, to_physical
 
 
@@ -141,11 +143,16 @@ class Prepared:
         t = self.typed
         rc = RuleCompiler(at.schema, at.frames.copy(), t.tables, self.bind(params), self.options, at.counts, at.loose)
         trim = collapse if self.options.collapse_rules else list
+        uses, tuples = self._uses(), 0
         for i in t.query.interiors:
-            rc.frames[i.name] = evaluate(rc, trim(t.interiors[i.name]), t.tables[i.name])
+            out = evaluate(rc, trim(t.interiors[i.name]), t.tables[i.name])
+            if t.rec or uses[i.name] > 1:  # evaluated once, whatever reads it and in whichever round
+                out = materialize(out, "interior")
+                tuples += out.count() if t.rec else 0
+            rc.frames[i.name] = out
         if t.rec:
             rec = t.query.rec
-            rc.frames[rec.name] = fixpoint(rc, rec.name, *t.rec, t.tables[rec.name], self.max_rounds, self.max_tuples)
+            rc.frames[rec.name] = fixpoint(rc, rec.name, *t.rec, t.tables[rec.name], self.max_rounds, self.max_tuples, tuples)
         out = evaluate(rc, trim(t.rules), t.signature)
         self.applied = rc.applied
         # A measure of a ray is an error of the whole query, found before any answer is given out.
@@ -156,6 +163,14 @@ class Prepared:
             out = out.toDF(*(c for n, ty in zip(names, t.signature, strict=True) for c in ([f"{n}_start", f"{n}_end"] if isinstance(ty, Interval) else [n])))
         return out
 
+    def _uses(self) -> Counter:
+        """How many atoms read each source."""
+        q, out = self.typed.query, Counter()
+        arms = [r for i in q.interiors for r in i.rules] + ([*q.rec.base, *q.rec.step] if q.rec else []) + list(q.rules)
+        for r in arms:
+            out.update(a.source for a in (*r.atoms, *r.negated))
+        return out
+
     def collect(self, **params) -> set[tuple]:
         """Answers as Python tuples, intervals as pairs."""
         from pyspark.errors import ArithmeticException

@@ -64,19 +64,20 @@ def evaluate(rc: RuleCompiler, rules: list[TypedRule], signature: list) -> DataF
     """
     finds = rules[0].rule.finds
     folds = [(i, f) for i, f in enumerate(finds) if isinstance(f, Agg)]
-    parts = []
+    parts, proven = [], []
     for r in rules:
+        before = len(rc.applied)
         df = rc.bindings(r)
         if df is not None:
             # Lone rules fold over whole bindings; the variables stay apart from the inputs.
             parts.append(head_inputs(rc, r, df, signature))
+            proven.append("distinct skipped" in rc.applied[before:] and _keeps_all(r))
     group = [c for i, f in enumerate(finds) if not isinstance(f, Agg) for c in find_columns(i, signature[i])]
     if not parts:
         return empty(rc, signature)
     df = reduce(lambda a, b: a.unionByName(b), parts)
     if not folds:
-        proven = len(parts) == 1 and rc.applied[-1:] == ["distinct skipped"] and _keeps_all(rules[0])
-        return df if proven else df.distinct()
+        return df if proven == [True] else df.distinct()
     if len(parts) > 1 or len(rules) > 1:
         df = df.distinct()
     i, f = folds[0]

@@ -16,6 +16,7 @@ from relspark.errors import ExecutionError
 from relspark.functions.measure import WIDE, measure
 from relspark.operators.aggregates import pack
 from relspark.operators.rules import lit
+from relspark.sources.scratch import materialize
 from relspark.schema import Capacity, Contained, Key, Relation, Schema, Side
 from relspark.types import Interval, ray_end, spark_type, to_physical
 
@@ -126,9 +127,10 @@ def refuse_ray_weights(frames: dict[str, DataFrame], schema: Schema) -> None:
 def violations(frames: dict[str, DataFrame], schema: Schema, keys_first: bool = True) -> DataFrame:
     """All violations of a state, sorted by nothing; an empty DataFrame accepts it."""
     keys = [_row(key_offenders(frames[st.relation], schema[st.relation], st), schema[st.relation], i, "source") for i, st in enumerate(schema.statements) if isinstance(st, Key) and not schema[st.relation].closed]
-    found = _union(keys, frames)
-    if keys_first and not found.isEmpty():
-        return found
+    if keys_first:
+        found = materialize(_union(keys, frames), "key-violations")  # found once, not once to see whether there are any and once more
+        if not found.isEmpty():
+            return found
     refuse_ray_weights(frames, schema)
     rest = []
     for i, st in enumerate(schema.statements):
@@ -175,9 +177,10 @@ def change_violations(base: dict[str, DataFrame], inserts: dict[str, DataFrame],
             r = schema[st.relation]
             scalars, _ = split_interval(r, st.fields)
             keys.append(_row(key_offenders(_touched(final[r.name], scalars, inserts[r.name], scalars), r, st), r, i, "source"))
-    found = _union(keys, final)
-    if keys and not found.isEmpty():
-        return found
+    if keys:
+        found = materialize(_union(keys, final), "key-violations")
+        if not found.isEmpty():
+            return found
     refuse_ray_weights(final, schema)
     rest = []
     for i, st in enumerate(schema.statements):

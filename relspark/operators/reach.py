@@ -14,14 +14,15 @@ from relspark.sources.scratch import materialize
 MAX_ROUNDS, MAX_TUPLES = 1 << 16, 10**7
 
 
-def fixpoint(rc: RuleCompiler, name: str, base: list, step: list, signature: list, max_rounds: int = MAX_ROUNDS, max_tuples: int = MAX_TUPLES) -> DataFrame:
+def fixpoint(rc: RuleCompiler, name: str, base: list, step: list, signature: list, max_rounds: int = MAX_ROUNDS, max_tuples: int = MAX_TUPLES, tuples: int = 0) -> DataFrame:
     """The least table that holds the base and is closed under the steps.
 
     Round 0 is the base; a later round joins the steps with what the round
     before added, and keeps what is new.  The driver sees one count a round.
+    ``tuples`` of the interiors count towards the budget.
     """
     delta = materialize(evaluate(rc, base, signature), "reach")
-    known, total, rounds = [delta], delta.count(), 0
+    known, total, rounds = [delta], tuples + delta.count(), 0
     while True:
         if total > max_tuples or rounds > max_rounds:
             raise ExecutionError("DerivedBudgetExceeded", name, rounds=rounds, tuples=total)

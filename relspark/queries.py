@@ -11,14 +11,11 @@ from relspark.builder import Not, P, S, V, all_of, allen, any_of, atom, count, d
 from relspark.functions.allen import BASICS, NAMED, allen_sql
 from relspark.operators.constraints import change_violations, violations
 from relspark.plans.rewrite import Options
-from relspark.sources.tables import HOUR, JUDGED, load
+from relspark.sources.tables import HOUR, JUDGED, SCHEMA, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Queries over a few ids; each has one over the whole relations beside it, with ``_all`` after its name.
-FEW_IDS = ["selfjoin_same_part_spread", "allen_before", "allen_after", "allen_disjoint", "ship_starts", "ship_during", "ship_finishes", "ship_overlaps", "ship_contains_or_meets", "interval_ne", "group_by_duration"]
-
 #: The derived relations in SQL.
 BASE = """
 region_ AS (SELECT r_regionkey::BIGINT AS id, r_name AS name FROM region),
@@ -32,7 +29,8 @@ event_ AS (SELECT event_id AS id, user_id AS "user", (list_position(['click', 'e
 span_ AS (SELECT DISTINCT "user", type, moment AS s, moment + 3600000000 AS e FROM event_),
 ship_ AS (SELECT DISTINCT l."order", l.line, l.part, o.placed AS s, l.ship AS e FROM line_ l JOIN order_ o ON l."order" = o.id WHERE o.placed < l.ship),
 turn_ AS (SELECT DISTINCT conv_id AS conv, turn, role FROM conversations),
-next_ AS (SELECT DISTINCT conv_id * 1000 + turn - 1 AS node, conv_id * 1000 + turn AS after FROM conversations WHERE turn > 0)
+next_ AS (SELECT DISTINCT conv_id * 1000 + turn - 1 AS node, conv_id * 1000 + turn AS after FROM conversations WHERE turn > 0),
+follow_ AS (SELECT DISTINCT a.part AS src, b.part AS dst, b.qty AS weight FROM line_ a JOIN line_ b ON a."order" = b."order" AND b.line = a.line + 1)
 """
 
 
@@ -66,8 +64,7 @@ add("dead_range", query(rule([V.o], atom("Order", id=V.o, total=V.t), lt(V.t, 10
 # Joins
 add("walk_customer_orders", query(rule([V.n, V.c, V.o], atom("Order", id=V.o, cust=V.c), atom("Customer", id=V.c, nation=V.k), atom("Nation", id=V.k, name=V.n))), ["nation", "cust", "order"], 'SELECT DISTINCT n.name AS nation, c.id AS cust, o.id AS "order" FROM order_ o JOIN customer_ c ON o.cust = c.id JOIN nation_ n ON c.nation = n.id')
 add("chain4", query(rule([V.r, V.l], atom("Region", id=V.g, name=V.r), atom("Nation", id=V.k, region=V.g), atom("Customer", id=V.c, nation=V.k), atom("Order", id=V.o, cust=V.c, total=V.t), atom("Line", order=V.o, line=V.l, price=V.p), gt(V.t, 20_000_000), gt(V.p, 8_000_000))), ["region", "line"], "SELECT DISTINCT r.name AS region, l.line FROM region_ r JOIN nation_ n ON n.region = r.id JOIN customer_ c ON c.nation = n.id JOIN order_ o ON o.cust = c.id JOIN line_ l ON l.\"order\" = o.id WHERE o.total > 20000000 AND l.price > 8000000")
-add("selfjoin_same_part_spread", query(rule([V.p, V.a, V.b], atom("Line", part=V.p, order=V.a, qty=V.q), atom("Line", part=V.p, order=V.b, qty=V.r), lt(V.q, V.r), lt(V.p, 20), gt(V.r, 40))), ["part", "a", "b"], 'SELECT DISTINCT a.part, a."order" AS a, b."order" AS b FROM line_ a JOIN line_ b ON a.part = b.part AND a.qty < b.qty WHERE a.part < 20 AND b.qty > 40')
-add("selfjoin_same_part_spread_all", query(rule([V.p, V.a, V.b], atom("Line", part=V.p, order=V.a, qty=V.q), atom("Line", part=V.p, order=V.b, qty=V.r), lt(V.q, V.r), gt(V.r, 40))), ["part", "a", "b"], 'SELECT DISTINCT a.part, a."order" AS a, b."order" AS b FROM line_ a JOIN line_ b ON a.part = b.part AND a.qty < b.qty WHERE b.qty > 40')
+add("selfjoin_same_part_spread", query(rule([V.p, V.a, V.b], atom("Line", part=V.p, order=V.a, qty=V.q), atom("Line", part=V.p, order=V.b, qty=V.r), lt(V.q, V.r), gt(V.r, 40))), ["part", "a", "b"], 'SELECT DISTINCT a.part, a."order" AS a, b."order" AS b FROM line_ a JOIN line_ b ON a.part = b.part AND a.qty < b.qty WHERE b.qty > 40')
 add("triangle_part_supp_order", query(rule([V.p, V.s, V.o], atom("Line", order=V.o, part=V.p), atom("Line", order=V.o, supp=V.s), atom("Line", part=V.p, supp=V.s))), ["part", "supp", "order"], 'SELECT DISTINCT a.part, b.supp, a."order" AS "order" FROM line_ a JOIN line_ b ON a."order" = b."order" JOIN line_ c ON c.part = a.part AND c.supp = b.supp')
 add("product_regions", query(rule([V.a, V.b], atom("Region", name=V.a), atom("Region", name=V.b))), ["a", "b"], "SELECT DISTINCT a.name AS a, b.name AS b FROM region_ a, region_ b")
 add("semi_customers_with_orders", query(rule([V.c], atom("Customer", id=V.c, segment="BUILDING"), atom("Order", cust=V.c, total=V.t), gt(V.t, 15_000_000))), ["cust"], "SELECT DISTINCT id AS cust FROM customer_ c WHERE segment = 'BUILDING' AND EXISTS (SELECT 1 FROM order_ o WHERE o.cust = c.id AND o.total > 15000000)")
@@ -80,6 +77,9 @@ add("without_big_orders", query(rule([V.c], atom("Customer", id=V.c), Not(atom("
 # Unions
 add("union_event_types", query(*(rule([V.u], atom("Event", user=V.u, type=k, value=V.v), gt(V.v, m)) for k, m in ((0, 9_000), (2, 5_000), (3, 1_000)))), ["user"], 'SELECT DISTINCT "user" FROM event_ WHERE (type = 0 AND value > 9000) OR (type = 2 AND value > 5000) OR (type = 3 AND value > 1000)')
 add("union_overlap", query(rule([V.o], atom("Order", id=V.o, status="F")), rule([V.o], atom("Order", id=V.o, total=V.t), gt(V.t, 20_000_000))), ["id"], "SELECT id FROM order_ WHERE status = 'F' UNION SELECT id FROM order_ WHERE total > 20000000")
+add("union_dead_first", query(rule([V.c], atom("Customer", id=V.c), lt(V.c, 1), gt(V.c, 5)), rule([V.c], atom("Order", id=V.o, cust=V.c))), ["cust"], "SELECT DISTINCT cust FROM order_")
+add("union_dead_last", query(rule([V.k], atom("Customer", id=V.c, nation=V.k)), rule([V.k], atom("Nation", id=V.k), lt(V.k, 1), gt(V.k, 5))), ["nation"], "SELECT DISTINCT nation FROM customer_")
+add("union_subsumed", query(rule([V.c], atom("Order", id=V.o, cust=V.c), atom("Line", order=V.o, qty=50)), rule([V.c], atom("Order", id=V.o, cust=V.c))), ["cust"], "SELECT DISTINCT cust FROM order_")
 add("intersect_rule", query(rule([V.k], atom("Customer", nation=V.k, segment="BUILDING"), atom("Supplier", nation=V.k))), ["nation"], "SELECT nation FROM customer_ WHERE segment = 'BUILDING' INTERSECT SELECT nation FROM supplier_")
 add("except_rule", query(rule([V.k], atom("Nation", id=V.k), Not(atom("Supplier", nation=V.k)))), ["nation"], "SELECT id AS nation FROM nation_ EXCEPT SELECT nation FROM supplier_")
 
@@ -105,33 +105,29 @@ add("any_point_set", query(rule([V.u], atom("EventSpan", user=V.u, during=S.ats)
 add("point_in_condition", query(rule([V.o, V.l], atom("Shipment", order=V.o, line=V.l, during=V.d), point_in(V.d, T0))), ["order", "line"], f'SELECT DISTINCT "order", line FROM ship_ WHERE s <= {T0} AND {T0} < e')
 add("constant_interval_point", query(rule([V.i], atom("Event", id=V.i, at=V.a), point_in((T0, T0 + 6 * HOUR), V.a))), ["event"], f"SELECT DISTINCT id AS event FROM event_ WHERE moment >= {T0} AND moment < {T0 + 6 * HOUR}")
 for _name in [*BASICS, "intersects", "disjoint", "covers", "covered_by"]:
-    _wide = _name in ("before", "after", "disjoint")
-    for _few in (True, False) if _wide else (False,):
-        add(
-            f"allen_{_name}{'_all' if _wide and not _few else ''}",
-            query(rule([V.u, V.a, V.b], atom("EventSpan", user=V.u, type=4 if _wide else 2, during=V.a), atom("EventSpan", user=V.u, type=3 if _wide else 0, during=V.b), allen(_name, V.a, V.b), *([lt(V.u, 10)] if _few else []))),
-            ["user", "a", "b"],
-            f'SELECT DISTINCT x."user", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM span_ x JOIN span_ y ON x."user" = y."user" WHERE x.type = {4 if _wide else 2} AND y.type = {3 if _wide else 0} AND {allen_sql(NAMED[_name], "x.s", "x.e", "y.s", "y.e")}' + (' AND x."user" < 10' if _few else ""),
-        )
+    _one, _two = (4, 3) if _name in ("before", "after", "disjoint") else (2, 0)
+    add(
+        f"allen_{_name}",
+        query(rule([V.u, V.a, V.b], atom("EventSpan", user=V.u, type=_one, during=V.a), atom("EventSpan", user=V.u, type=_two, during=V.b), allen(_name, V.a, V.b))),
+        ["user", "a", "b"],
+        f'SELECT DISTINCT x."user", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM span_ x JOIN span_ y ON x."user" = y."user" WHERE x.type = {_one} AND y.type = {_two} AND {allen_sql(NAMED[_name], "x.s", "x.e", "y.s", "y.e")}',
+    )
 for _name in ("starts", "during", "finishes", "overlaps", "contains|meets"):
     _mask = 0
     for _x in _name.split("|"):
         _mask |= NAMED[_x]
-    for _few in (True, False):
-        add(
-            f"ship_{_name.replace('|', '_or_')}{'' if _few else '_all'}",
-            query(rule([V.p, V.a, V.b], atom("Shipment", part=V.p, during=V.a), atom("Shipment", part=V.p, during=V.b), *([lt(V.p, 12)] if _few else []), allen(_mask, V.a, V.b))),
-            ["part", "a", "b"],
-            f"SELECT DISTINCT x.part, x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM ship_ x JOIN ship_ y ON x.part = y.part WHERE {'x.part < 12 AND ' if _few else ''}{allen_sql(_mask, 'x.s', 'x.e', 'y.s', 'y.e')}",
-        )
+    add(
+        f"ship_{_name.replace('|', '_or_')}",
+        query(rule([V.p, V.a, V.b], atom("Shipment", part=V.p, during=V.a), atom("Shipment", part=V.p, during=V.b), allen(_mask, V.a, V.b))),
+        ["part", "a", "b"],
+        f"SELECT DISTINCT x.part, x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM ship_ x JOIN ship_ y ON x.part = y.part WHERE {allen_sql(_mask, 'x.s', 'x.e', 'y.s', 'y.e')}",
+    )
 add("allen_literal", query(rule([V.u, V.d], atom("EventSpan", user=V.u, during=V.d), allen("during|starts|finishes", V.d, P.day))), ["user", "during"], f'SELECT DISTINCT "user", s AS during_start, e AS during_end FROM span_ WHERE (s > {T0} AND e < {T0 + 24 * HOUR}) OR (s = {T0} AND e < {T0 + 24 * HOUR}) OR (s > {T0} AND e = {T0 + 24 * HOUR})', day=(T0, T0 + 24 * HOUR))
 add("interval_eq", query(rule([V.u, V.w, V.a], atom("EventSpan", user=V.u, type=V.k, during=V.a), atom("EventSpan", user=V.w, type=V.j, during=V.b), eq(V.a, V.b), lt(V.u, V.w))), ["u", "w", "during"], 'SELECT DISTINCT x."user" AS u, y."user" AS w, x.s AS during_start, x.e AS during_end FROM span_ x JOIN span_ y ON x.s = y.s AND x.e = y.e AND x."user" < y."user"')
-add("interval_ne", query(rule([V.o, V.a, V.b], atom("Shipment", order=V.o, during=V.a), atom("Shipment", order=V.o, during=V.b), ne(V.a, V.b), lt(V.o, 200))), ["order", "a", "b"], 'SELECT DISTINCT x."order", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM ship_ x JOIN ship_ y ON x."order" = y."order" WHERE (x.s <> y.s OR x.e <> y.e) AND x."order" < 200')
-add("interval_ne_all", query(rule([V.o, V.a, V.b], atom("Shipment", order=V.o, during=V.a), atom("Shipment", order=V.o, during=V.b), ne(V.a, V.b))), ["order", "a", "b"], 'SELECT DISTINCT x."order", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM ship_ x JOIN ship_ y ON x."order" = y."order" WHERE (x.s <> y.s OR x.e <> y.e)')
+add("interval_ne", query(rule([V.o, V.a, V.b], atom("Shipment", order=V.o, during=V.a), atom("Shipment", order=V.o, during=V.b), ne(V.a, V.b))), ["order", "a", "b"], 'SELECT DISTINCT x."order", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM ship_ x JOIN ship_ y ON x."order" = y."order" WHERE (x.s <> y.s OR x.e <> y.e)')
 add("duration_filter", query(rule([V.o, V.l], atom("Shipment", order=V.o, line=V.l, during=V.d), gt(duration(V.d), 1_000 * 24 * HOUR))), ["order", "line"], f'SELECT DISTINCT "order", line FROM ship_ WHERE e - s > {1_000 * 24 * HOUR}')
 add("sum_duration", query(rule([V.p, sum_(duration(V.d))], atom("Shipment", part=V.p, order=V.o, line=V.l, during=V.d))), ["part", "micros"], "SELECT part, CAST(sum(e - s) AS DECIMAL(20,0)) AS micros FROM ship_ GROUP BY part")
-add("group_by_duration", query(rule([duration(V.d), count()], atom("Shipment", order=V.o, line=V.l, part=V.p, during=V.d), lt(V.p, 20))), ["micros", "n"], "SELECT CAST(e - s AS DECIMAL(20,0)) AS micros, count(*) AS n FROM ship_ WHERE part < 20 GROUP BY 1")
-add("group_by_duration_all", query(rule([duration(V.d), count()], atom("Shipment", order=V.o, line=V.l, part=V.p, during=V.d))), ["micros", "n"], "SELECT CAST(e - s AS DECIMAL(20,0)) AS micros, count(*) AS n FROM ship_ GROUP BY 1")
+add("group_by_duration", query(rule([duration(V.d), count()], atom("Shipment", order=V.o, line=V.l, part=V.p, during=V.d))), ["micros", "n"], "SELECT CAST(e - s AS DECIMAL(20,0)) AS micros, count(*) AS n FROM ship_ GROUP BY 1")
 
 
 def _islands(keys: str, source: str, order: str = "s, e") -> str:
@@ -148,6 +144,41 @@ add("pack_hot_users", query(rule([V.u, pack(V.d)], atom("EventSpan", user=V.u, d
 add("pack_union", query(*(rule([V.u, pack(V.d)], atom("EventSpan", user=V.u, type=k, during=V.d)) for k in (0, 4))), ["user", "during"], _islands('"user"', 'SELECT DISTINCT "user", s, e FROM span_ WHERE type IN (0, 4)'))
 add("busy_without_error", query(rule([V.u, V.d], atom("EventSpan", user=V.u, type=2, during=V.d), atom("Event", user=V.u, type=0, at=V.a), point_in(V.d, V.a), Not(atom("EventSpan", user=V.u, type=1, during=V.a)))), ["user", "during"], 'SELECT DISTINCT x."user", x.s AS during_start, x.e AS during_end FROM span_ x JOIN event_ v ON v."user" = x."user" AND v.type = 0 AND x.s <= v.moment AND v.moment < x.e WHERE x.type = 2 AND NOT EXISTS (SELECT 1 FROM span_ y WHERE y."user" = x."user" AND y.type = 1 AND y.s <= v.moment AND v.moment < y.e)')
 
+# Graph: parts that follow one another in an order
+add("graph_neighbors", query(rule([V.b], atom("Follow", src=P.start, dst=V.b))), ["part"], "SELECT DISTINCT dst AS part FROM follow_ WHERE src = 17", start=17)
+add("graph_two_hop", query(rule([V.c], atom("Follow", src=P.start, dst=V.b), atom("Follow", src=V.b, dst=V.c))), ["part"], "SELECT DISTINCT y.dst AS part FROM follow_ x JOIN follow_ y ON x.dst = y.src WHERE x.src = 17", start=17)
+add("graph_three_hop_count", query(rule([count()], atom("Follow", src=P.start, dst=V.b), atom("Follow", src=V.b, dst=V.c), atom("Follow", src=V.c, dst=V.d))), ["n"], "SELECT count(*) AS n FROM (SELECT DISTINCT x.dst AS b, y.dst AS c, z.dst AS d FROM follow_ x JOIN follow_ y ON x.dst = y.src JOIN follow_ z ON y.dst = z.src WHERE x.src = 17) HAVING count(*) > 0", start=17)
+add("graph_mutual", query(rule([V.a, V.b], atom("Follow", src=V.a, dst=V.b), atom("Follow", src=V.b, dst=V.a), lt(V.a, V.b))), ["a", "b"], "SELECT DISTINCT x.src AS a, x.dst AS b FROM follow_ x JOIN follow_ y ON x.dst = y.src AND x.src = y.dst WHERE x.src < x.dst")
+add("graph_triangles", query(rule([V.a, V.b, V.c], atom("Follow", src=V.a, dst=V.b), atom("Follow", src=V.b, dst=V.c), atom("Follow", src=V.c, dst=V.a), lt(V.a, V.b), lt(V.a, V.c))), ["a", "b", "c"], "SELECT DISTINCT x.src AS a, y.src AS b, z.src AS c FROM follow_ x JOIN follow_ y ON x.dst = y.src JOIN follow_ z ON y.dst = z.src AND z.dst = x.src WHERE x.src < y.src AND x.src < z.src")
+add("graph_weighted_hop", query(rule([V.c, sum_(V.w)], atom("Follow", src=P.start, dst=V.b), atom("Follow", src=V.b, dst=V.c, weight=V.w))), ["part", "weight"], "SELECT c AS part, sum(weight)::BIGINT AS weight FROM (SELECT DISTINCT y.src AS b, y.dst AS c, y.weight FROM follow_ x JOIN follow_ y ON x.dst = y.src WHERE x.src = 17) GROUP BY c", start=17)
+add("ring_of_four", query(rule([V.a, V.c], atom("Follow", src=V.a, dst=V.b), atom("Follow", src=V.b, dst=V.c), atom("Follow", src=V.c, dst=V.d), atom("Follow", src=V.d, dst=V.a), lt(V.a, V.b), lt(V.a, V.c), lt(V.a, V.d))), ["a", "c"], "SELECT DISTINCT p.a, p.c FROM hop p JOIN hop q ON p.c = q.a AND q.c = p.a WHERE p.a < p.b AND p.a < p.c AND p.a < q.b", more="hop AS (SELECT DISTINCT x.src AS a, x.dst AS b, y.dst AS c FROM follow_ x JOIN follow_ y ON x.dst = y.src)")
+add("ring_reach", query(rule([V.b], atom("Round", V.b)), rec=("Round", [rule([V.b], atom("Follow", src=P.start, dst=V.b))], [rule([V.c], atom("Round", V.b), atom("Follow", src=V.b, dst=V.c))])), ["part"], "SELECT b AS part FROM f", recursive=True, more="f(b) AS (SELECT dst FROM follow_ WHERE src = 17 UNION SELECT follow_.dst FROM f JOIN follow_ ON f.b = follow_.src)", start=17)
+
+# Stars of facts and dimensions
+_WHOLE_LINE = {"order": V.o, "part": V.x, "supp": V.y, "line": V.l, "qty": V.q, "ship": V.h, "price": V.p}
+add("olap_by_brand", query(rule([V.b, sum_(V.p), count()], atom("Line", **_WHOLE_LINE), atom("Part", id=V.x, brand=V.b))), ["brand", "revenue", "n"], "SELECT brand, sum(l.price)::BIGINT AS revenue, count(*) AS n FROM line_ l JOIN part_ p ON l.part = p.id GROUP BY brand")
+add("olap_region_segment", query(rule([V.r, V.s, sum_(V.p)], atom("Line", **_WHOLE_LINE), atom("Order", id=V.o, cust=V.c), atom("Customer", id=V.c, nation=V.k, segment=V.s), atom("Nation", id=V.k, region=V.g), atom("Region", id=V.g, name=V.r))), ["region", "segment", "revenue"], 'SELECT r.name AS region, c.segment, sum(l.price)::BIGINT AS revenue FROM line_ l JOIN order_ o ON l."order" = o.id JOIN customer_ c ON o.cust = c.id JOIN nation_ n ON c.nation = n.id JOIN region_ r ON n.region = r.id GROUP BY ALL')
+add("olap_sliced", query(rule([V.s, sum_(V.p)], atom("Line", **_WHOLE_LINE), atom("Order", id=V.o, status=V.s), ge(V.q, 10), lt(V.q, 30))), ["status", "revenue"], 'SELECT status, sum(l.price)::BIGINT AS revenue FROM line_ l JOIN order_ o ON l."order" = o.id WHERE qty >= 10 AND qty < 30 GROUP BY status')
+add("olap_extremes", query(rule([V.k, min_(V.p), max_(V.p), count()], atom("Line", **_WHOLE_LINE), atom("Supplier", id=V.y, nation=V.k))), ["nation", "lo", "hi", "n"], "SELECT s.nation, min(l.price) AS lo, max(l.price) AS hi, count(*) AS n FROM line_ l JOIN supplier_ s ON l.supp = s.id GROUP BY s.nation")
+add("olap_buyers_of_brand", query(rule([V.b, count()], atom("Buys", V.b, V.c)), interiors={"Buys": rule([V.b, V.c], atom("Line", order=V.o, part=V.x), atom("Order", id=V.o, cust=V.c), atom("Part", id=V.x, brand=V.b))}), ["brand", "buyers"], 'SELECT p.brand, count(DISTINCT o.cust) AS buyers FROM line_ l JOIN order_ o ON l."order" = o.id JOIN part_ p ON l.part = p.id GROUP BY p.brand')
+add("olap_total", query(rule([sum_(V.p), count()], atom("Line", **_WHOLE_LINE), atom("Part", id=V.x, size=V.z), gt(V.z, 25))), ["revenue", "n"], "SELECT sum(l.price)::BIGINT AS revenue, count(*) AS n FROM line_ l JOIN part_ p ON l.part = p.id WHERE p.size > 25 HAVING count(*) > 0")
+
+# Joins of many relations
+add("join_star", query(rule([V.b, V.k], atom("Line", part=V.x, supp=V.y, qty=50), atom("Part", id=V.x, brand=V.b), atom("Supplier", id=V.y, nation=V.k))), ["brand", "nation"], "SELECT DISTINCT p.brand, s.nation FROM line_ l JOIN part_ p ON l.part = p.id JOIN supplier_ s ON l.supp = s.id WHERE l.qty = 50")
+add("join_same_nation", query(rule([V.o, V.k], atom("Order", id=V.o, cust=V.c), atom("Customer", id=V.c, nation=V.k), atom("Line", order=V.o, supp=V.y), atom("Supplier", id=V.y, nation=V.k))), ["order", "nation"], 'SELECT DISTINCT o.id AS "order", c.nation FROM order_ o JOIN customer_ c ON o.cust = c.id JOIN line_ l ON l."order" = o.id JOIN supplier_ s ON l.supp = s.id AND s.nation = c.nation')
+add("join_five_way", query(rule([V.r, V.b], atom("Region", id=V.g, name=V.r), atom("Nation", id=V.k, region=V.g), atom("Supplier", id=V.y, nation=V.k), atom("Line", supp=V.y, part=V.x, price=V.p), atom("Part", id=V.x, brand=V.b), gt(V.p, 9_000_000))), ["region", "brand"], "SELECT DISTINCT r.name AS region, p.brand FROM region_ r JOIN nation_ n ON n.region = r.id JOIN supplier_ s ON s.nation = n.id JOIN line_ l ON l.supp = s.id JOIN part_ p ON l.part = p.id WHERE l.price > 9000000")
+add("join_two_customers", query(rule([V.a, V.b], atom("Order", id=V.o, cust=V.a), atom("Line", order=V.o, part=V.x, qty=50), atom("Line", order=V.m, part=V.x, qty=49), atom("Order", id=V.m, cust=V.b), lt(V.a, V.b))), ["a", "b"], 'SELECT DISTINCT o.cust AS a, m.cust AS b FROM order_ o JOIN line_ x ON x."order" = o.id AND x.qty = 50 JOIN line_ y ON y.part = x.part AND y.qty = 49 JOIN order_ m ON y."order" = m.id WHERE o.cust < m.cust')
+add("join_never_bought", query(rule([V.x], atom("Part", id=V.x), Not(atom("Line", part=V.x, qty=1))), rule([V.x], atom("Part", id=V.x, size=50))), ["part"], "SELECT id AS part FROM part_ p WHERE NOT EXISTS (SELECT 1 FROM line_ l WHERE l.part = p.id AND l.qty = 1) UNION SELECT id FROM part_ WHERE size = 50")
+add("join_chain_back", query(rule([V.c, V.k], atom("Customer", id=V.c, nation=V.k), atom("Order", id=V.o, cust=V.c, status="F"), Not(atom("Local", V.o))), interiors={"Local": rule([V.o], atom("Order", id=V.o, cust=V.c), atom("Customer", id=V.c, nation=V.k), atom("Line", order=V.o, supp=V.y), atom("Supplier", id=V.y, nation=V.k))}), ["cust", "nation"], 'SELECT DISTINCT c.id AS cust, c.nation FROM customer_ c JOIN order_ o ON o.cust = c.id AND o.status = \'F\' WHERE NOT EXISTS (SELECT 1 FROM line_ l JOIN supplier_ s ON l.supp = s.id WHERE l."order" = o.id AND s.nation = c.nation)')
+
+# Calendar
+add("calendar_conflict_pairs", query(rule([V.u, V.a, V.b], atom("EventSpan", user=V.u, type=V.j, during=V.a), atom("EventSpan", user=V.u, type=V.k, during=V.b), allen("intersects", V.a, V.b), ne(V.j, V.k))), ["user", "a", "b"], 'SELECT DISTINCT x."user", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM span_ x JOIN span_ y ON x."user" = y."user" AND x.s < y.e AND y.s < x.e AND x.type <> y.type')
+add("calendar_conflict_free", query(rule([V.u, V.i], atom("Event", id=V.i, user=V.u, type=3, at=V.a), Not(atom("EventSpan", user=V.u, type=4, during=V.a)), Not(atom("EventSpan", user=V.u, type=0, during=V.a)))), ["user", "event"], 'SELECT DISTINCT v."user", v.id AS event FROM event_ v WHERE v.type = 3 AND NOT EXISTS (SELECT 1 FROM span_ y WHERE y."user" = v."user" AND y.type IN (0, 4) AND y.s <= v.moment AND v.moment < y.e)')
+add("calendar_meets_chain", query(rule([V.u, V.a, V.b], atom("EventSpan", user=V.u, during=V.a), atom("EventSpan", user=V.u, during=V.b), allen("meets|met_by", V.a, V.b))), ["user", "a", "b"], 'SELECT DISTINCT x."user", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM span_ x JOIN span_ y ON x."user" = y."user" AND (x.e = y.s OR y.e = x.s)')
+add("calendar_claim_hours", query(rule([V.u, sum_(duration(V.d))], atom("EventSpan", user=V.u, type=V.k, during=V.d))), ["user", "micros"], 'SELECT "user", CAST(sum(e - s) AS DECIMAL(20,0)) AS micros FROM span_ GROUP BY "user"')
+add("calendar_slot_booking", query(rule([V.u, V.a, V.b], atom("EventSpan", user=V.u, type=2, during=V.a), atom("Shipment", part=V.u, during=V.b), allen("during", V.a, V.b))), ["user", "a", "b"], 'SELECT DISTINCT x."user", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM span_ x JOIN ship_ y ON y.part = x."user" WHERE x.type = 2 AND y.s < x.s AND x.e < y.e')
+add("keyless_overlap", query(rule([V.a, V.b], atom("EventSpan", type=3, during=V.a), atom("EventSpan", type=1, during=V.b), allen("intersects", V.a, V.b))), ["a", "b"], "SELECT DISTINCT x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM span_ x JOIN span_ y ON x.s < y.e AND y.s < x.e WHERE x.type = 3 AND y.type = 1")
+
 # Closed vocabularies
 add("closed_vocab_filter", query(rule([V.u, count()], atom("Event", id=V.i, user=V.u, type=V.k), atom("EventType", id=V.k, valued=True))), ["user", "n"], 'SELECT "user", count(*) AS n FROM event_ WHERE type IN (2, 3) GROUP BY "user"')
 add("closed_vocab_negated", query(rule([V.i], atom("Event", id=V.i, type=V.k), Not(atom("EventType", id=V.k, valued=True)))), ["event"], "SELECT DISTINCT id AS event FROM event_ WHERE type NOT IN (2, 3)")
@@ -179,31 +210,35 @@ add_read("keyed_get", lambda spark, d: load(spark, d).get("Customer", id=11), "S
 add_read("relation_count", lambda spark, d: load(spark, d).scan("Line").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM line_")
 
 
-# Constraint judgments
-def _judge(kinds):
+# Constraint judgments: the violations themselves
+def _judge(picked):
     def run(spark, sf_dir):
-        at = load(spark, sf_dir, JUDGED)
-        out = violations(at.facts, JUDGED, keys_first=False)
-        picked = [i for i, s in enumerate(JUDGED.statements) if kinds(s)]
-        return out.where(F.col("statement").isin(picked)).groupBy("relation", "direction").agg(F.count(F.lit(1)).alias("n"))
+        out = violations(load(spark, sf_dir, JUDGED).facts, JUDGED, keys_first=False)
+        return out.where(F.col("statement") == picked)
 
     return run
 
 
-def _is(kind, relation):
-    def of(s):
-        if type(s).__name__ != kind:
-            return False
-        return relation == (s.relation if kind == "Key" else s.source.relation if kind == "Contained" else s.target.relation)
+def _fact(r: str, *more: str) -> str:
+    """The JSON of a fact in SQL."""
+    parts = []
+    for c in SCHEMA[r].columns():
+        col = {"during_start": "s", "during_end": "e"}.get(c, f'"{c}"')
+        parts.append(f"""'"{c}":"' || {col} || '"'""" if c in ("status", "segment") else f"""'"{c}":' || {col}""")
+    return "'{' || " + " || ',' || ".join(parts) + " || '}' AS fact"
+
 
-    return of
+def _add_judge(name: str, kind: str, r: str, direction: str, rows: str) -> None:
+    of = {"Key": lambda s: s.relation, "Contained": lambda s: s.source.relation, "Capacity": lambda s: s.target.relation}[kind]
+    picked = next(i for i, s in enumerate(JUDGED.statements) if type(s).__name__ == kind and of(s) == r)
+    add_read(name, _judge(picked), f"SELECT {picked}::INTEGER AS statement, '{direction}' AS direction, '{r}' AS relation, {_fact(r)} FROM {rows}")
 
 
-add_read("key_violations", _judge(_is("Key", "Line")), 'SELECT \'Line\' AS relation, \'source\' AS direction, count(*) AS n FROM line_ WHERE ("order", line) IN (SELECT "order", line FROM line_ GROUP BY ALL HAVING count(*) > 1) HAVING count(*) > 0')
-add_read("pointwise_violations", _judge(_is("Key", "EventSpan")), "SELECT 'EventSpan' AS relation, 'source' AS direction, count(*) AS n FROM span_ x WHERE EXISTS (SELECT 1 FROM span_ y WHERE y.\"user\" = x.\"user\" AND (y.s, y.e, y.type) <> (x.s, x.e, x.type) AND y.s < x.e AND x.s < y.e) HAVING count(*) > 0")
-add_read("containment_violations", _judge(_is("Contained", "Line")), "SELECT 'Line' AS relation, 'source' AS direction, count(*) AS n FROM line_ l WHERE qty = 1 AND NOT EXISTS (SELECT 1 FROM part_ p WHERE p.id = l.part) HAVING count(*) > 0")
-add_read("capacity_violations", _judge(_is("Capacity", "Order")), "SELECT 'Order' AS relation, 'target' AS direction, count(*) AS n FROM (SELECT o.id, count(l.\"order\") AS c FROM order_ o LEFT JOIN line_ l ON l.\"order\" = o.id GROUP BY o.id) WHERE c < 1 OR c > 6 HAVING count(*) > 0")
-add_read("capacity_sum_violations", _judge(_is("Capacity", "Customer")), "SELECT 'Customer' AS relation, 'target' AS direction, count(*) AS n FROM (SELECT c.id, coalesce(sum(o.total), 0) AS t FROM customer_ c LEFT JOIN order_ o ON o.cust = c.id GROUP BY c.id) WHERE t > 2000000000 HAVING count(*) > 0")
+_add_judge("key_violations", "Key", "Line", "source", 'line_ WHERE ("order", line) IN (SELECT "order", line FROM line_ GROUP BY ALL HAVING count(*) > 1)')
+_add_judge("pointwise_violations", "Key", "EventSpan", "source", 'span_ x WHERE EXISTS (SELECT 1 FROM span_ y WHERE y."user" = x."user" AND (y.s, y.e, y.type) <> (x.s, x.e, x.type) AND y.s < x.e AND x.s < y.e)')
+_add_judge("containment_violations", "Contained", "Line", "source", "line_ l WHERE qty = 1 AND NOT EXISTS (SELECT 1 FROM part_ p WHERE p.id = l.part)")
+_add_judge("capacity_violations", "Capacity", "Order", "target", '(SELECT o.*, (SELECT count(*) FROM line_ l WHERE l."order" = o.id) AS c FROM order_ o) WHERE c < 1 OR c > 6')
+_add_judge("capacity_sum_violations", "Capacity", "Customer", "target", "(SELECT c.*, coalesce((SELECT sum(total) FROM order_ o WHERE o.cust = c.id), 0) AS t FROM customer_ c) WHERE t > 2000000000")
 
 
 def _coverage(spark, sf_dir):
@@ -225,11 +260,11 @@ WHERE x.line > 3 AND NOT EXISTS (SELECT 1 FROM ({_islands("part", "SELECT DISTIN
 def _change(spark, sf_dir):
     """Deleting the customers of nation 3 orphans their orders: judged by the change alone."""
     at = load(spark, sf_dir)
-    out = change_violations(at.facts, {}, {"Customer": at.frames["Customer"].where("nation = 3")}, at.schema)
-    return out.groupBy("relation", "direction").agg(F.count(F.lit(1)).alias("n"))
+    return change_violations(at.facts, {}, {"Customer": at.frames["Customer"].where("nation = 3")}, at.schema)
 
 
-add_read("change_violations", _change, "SELECT 'Order' AS relation, 'target' AS direction, count(*) AS n FROM order_ o JOIN customer_ c ON o.cust = c.id WHERE c.nation = 3 HAVING count(*) > 0")
+_ORPHANS = next(i for i, s in enumerate(SCHEMA.statements) if type(s).__name__ == "Contained" and s.source.relation == "Order")
+add_read("change_violations", _change, f"SELECT {_ORPHANS}::INTEGER AS statement, 'target' AS direction, 'Order' AS relation, {_fact('Order')} FROM order_ WHERE cust IN (SELECT id FROM customer_ WHERE nation = 3)")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,6 +252,8 @@ def _validate(s: Schema) -> None:
                 raise SchemaError("NoMatchingKey", mark)
             if isinstance(st, Capacity):
                 _capacity(s, st, mark)
+        if _constant(s, st) and not _holds(s, st):
+            raise SchemaError("FalseOfConstants", mark)
 
 
 def _projection(s: Schema, sd: Side) -> list:
@@ -298,3 +300,52 @@ def _capacity(s: Schema, st: Capacity, mark: str) -> None:
         raise SchemaError("BoundType", mark)
     if isinstance(st.hi, tuple) != isinstance(st.weight, tuple) and isinstance(st.hi, tuple):
         raise SchemaError("DimensionMixing", mark)
+
+
+def _constant(s: Schema, st) -> bool:
+    """Whether the statement speaks of closed relations only, so that it is decided here."""
+    return all(s[name].closed for name in ([st.relation] if isinstance(st, Key) else [st.source.relation, st.target.relation]))
+
+
+def _facts(s: Schema, sd: Side) -> list[dict]:
+    r = s[sd.relation]
+    facts = [dict(zip((f.name for f in r.fields), row, strict=True)) for row in r.rows]
+    return [f for f in facts if all(f[k] in v if isinstance(v, frozenset) else f[k] == v for k, v in sd.where)]
+
+
+def _holds(s: Schema, st) -> bool:
+    if isinstance(st, Key):
+        r = s[st.relation]
+        spans = [f for f in st.fields if isinstance(r.field(f).type, Interval)]
+        seen: dict[tuple, list] = {}
+        for f in _facts(s, Side(st.relation, st.fields)):
+            seen.setdefault(tuple(f[k] for k in st.fields if k not in spans), []).append(f[spans[0]] if spans else None)
+        if not spans:
+            return all(len(x) == 1 for x in seen.values())
+        return all(a[1] <= b[0] for x in seen.values() for a, b in zip(sorted(x), sorted(x)[1:]))
+    source, target = _facts(s, st.source), _facts(s, st.target)
+    if isinstance(st, Capacity):
+        for t in target:
+            mine = [f for f in source if all(f[a] == t[b] for a, b in zip(st.source.fields, st.target.fields, strict=True))]
+            n = sum(_length(f[st.weight[1]]) if isinstance(st.weight, tuple) else f[st.weight] if st.weight else 1 for f in mine)
+            hi = _length(t[st.hi[1]]) if isinstance(st.hi, tuple) else t[st.hi] if isinstance(st.hi, str) else st.hi
+            if n < st.lo or hi is not None and n > hi:
+                return False
+        return True
+    last = s[st.source.relation].field(st.source.fields[-1])
+    if not isinstance(last.type, Interval):
+        there = {tuple(t[k] for k in st.target.fields) for t in target}
+        return all(tuple(f[k] for k in st.source.fields) in there for f in source)
+    for f in source:
+        at, end = f[last.name]
+        parts = sorted(t[st.target.fields[-1]] for t in target if all(t[b] == f[a] for a, b in zip(st.source.fields[:-1], st.target.fields[:-1], strict=True)))
+        for lo, hi in parts:
+            if lo <= at:
+                at = max(at, hi)
+        if at < end:
+            return False
+    return True
+
+
+def _length(span: tuple) -> int:
+    return span[1] - span[0]

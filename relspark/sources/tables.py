@@ -28,6 +28,7 @@ SCHEMA = Schema(
         relation("Shipment", order=I64(), line=I64(), part=I64(), during=Interval(I64())),
         relation("Turn", conv=I64(), turn=I64(), role=Str()),
         relation("Next", node=I64(), after=I64()),
+        relation("Follow", src=I64(), dst=I64(), weight=I64()),
         closed("EventType", EVENT_TYPES, valued=Bool()),
     ),
     (
@@ -87,6 +88,10 @@ def frames(spark: SparkSession, sf_dir: str) -> Frames:
         node = F.col("conv_id") * 1000 + F.col("turn")
         return t("conversations").where("turn > 0").select((node - 1).alias("node"), node.alias("after"))
 
+    def follow():
+        here = line().select("order", F.col("line") + 1, F.col("part").alias("src")).toDF("order", "line", "src")
+        return here.join(line(), ["order", "line"]).select("src", F.col("part").alias("dst"), F.col("qty").alias("weight"))
+
     return Frames(
         {
             "Region": lambda: t("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")),
@@ -101,6 +106,7 @@ def frames(spark: SparkSession, sf_dir: str) -> Frames:
             "Shipment": shipment,
             "Turn": lambda: t("conversations").select(F.col("conv_id").alias("conv"), "turn", "role"),
             "Next": following,
+            "Follow": follow,
         }
     )
 

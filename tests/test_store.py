@@ -275,6 +275,36 @@ def test_schema_refusals():
             make()
 
 
+def test_statements_between_constants():
+    """Decided when the schema is made."""
+    kind = closed("Kind", {"a": (1, (0, 5)), "b": (2, (5, 9)), "c": (2, (20, 30))}, size=I64(), part=Interval(I64()))
+    need = closed("Need", {"x": (2, (6, 8)), "y": (1, (0, 5))}, size=I64(), part=Interval(I64()))
+    wide = closed("Wide", {"x": (2, (8, 22))}, size=I64(), part=Interval(I64()))
+    pointwise = Key("Kind", ("size", "part"))
+    good = [
+        pointwise,
+        Contained(side("Need", "size", "part"), side("Kind", "size", "part")),
+        Contained(side("Need", "id"), side("Kind", "id")),
+        Capacity(side("Kind", "id"), side("Need", "id"), 0, 1),
+        Capacity(side("Need", "id"), side("Kind", "id"), 0, 9, weight=("duration", "part")),
+    ]
+    assert Schema((kind, need, wide), tuple(good))
+    bad = [
+        Key("Kind", ("size",)),
+        Contained(side("Wide", "size", "part"), side("Kind", "size", "part")),
+        Contained(side("Kind", "id"), side("Need", "id")),
+        Capacity(side("Kind", "id"), side("Need", "id"), 1, 1),
+        Capacity(side("Need", "id"), side("Kind", "id"), 0, 4, weight=("duration", "part")),
+        Capacity(side("Need", "id"), side("Kind", "id"), 0, 1, weight="size"),
+    ]
+    for st in bad:
+        with pytest.raises(SchemaError, match="FalseOfConstants"):
+            Schema((kind, need, wide), (pointwise, st))
+    overlap = closed("Kind", {"a": (1, (0, 5)), "b": (1, (4, 9))}, size=I64(), part=Interval(I64()))
+    with pytest.raises(SchemaError, match="FalseOfConstants"):
+        Schema((overlap,), (pointwise,))
+
+
 def test_schema_round_trip():
     again = Schema.from_json(SCHEMA.to_json())
     assert again == SCHEMA and again.fingerprint() == SCHEMA.fingerprint()
