@@ -36,6 +36,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, max_r
     return sorted(((r.o_, r.t_, r.y) for r in out.select("o_", "t_", "y").collect()), key=lambda r: r[:2])
 
 
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: int, max_bytes: int, doc_id: str = "doc_id", text: str = "text") -> list[str]:
+    """Up to ``max_rows`` texts and ``max_bytes`` bytes of rows that meet ``learn`` and have no label, in the order of a hash of their id."""
+    known = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("id_")).distinct()
+    rows = docs.where(learn & F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id_"), F.col(text).alias("t_"))
+    sizes = rows.select("id_", F.octet_length("t_").alias("n")).join(known, "id_", "left_anti").groupBy("id_").agg(F.max("n").alias("n"))
+    sizes = sizes.select("id_", "n", F.md5(F.concat(F.lit("more:"), F.col("id_").cast("string"))).alias("o_")).orderBy("o_").limit(max_rows).collect()
+    total, ids = 0, []
+    for r in sorted(sizes, key=lambda r: r.o_):
+        if total + r.n <= max_bytes:
+            total += r.n
+            ids.append((r.id_,))
+    if not ids:
+        return []
+    picked = docs.sparkSession.createDataFrame(ids, "id_ long")
+    got = rows.join(F.broadcast(picked), "id_").groupBy("id_").agg(F.min("t_").alias("t_")).collect()
+    return [r.t_ for r in sorted(got, key=lambda r: r.id_)]
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 

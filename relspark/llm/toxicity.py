@@ -2,15 +2,17 @@
 
 Voters: a seed lexicon, words and word beginnings that stand out in toxic rows
 of the labelled sample (by presence, or by density where clean texts have them
-now and then), patterns over all terms, and a voter for texts without any.
-Voters that don't fire abstain.  A generative label model (a latent class, with
-each voter's accuracy fitted by EM without labels) estimates the accuracies;
-voters that fire together beyond what the class explains are correlated, and
-their evidence is divided among them.  Its posteriors are the labels of a
-logistic regression on the voters' firing and counts, which scores all documents.
+now and then), how many of these terms fire, and patterns of the writing
+(:data:`PATTERNS`).  Voters that don't fire abstain.  A generative label model (a
+latent class, with each voter's accuracy fitted by EM, which sees no label)
+estimates the accuracies over labelled and unlabelled rows alike; voters that
+fire together beyond what the class explains are correlated, and their evidence
+is divided among them.  Its posteriors are the labels of a logistic regression
+on the voters' firing and counts, which scores all documents.
 
 Learning is bounded: at most ``max_rows`` labelled rows and ``max_bytes`` bytes
-of their texts are held by the driver.  Scoring reads every whole text.
+of their texts, and half as many of each unlabelled, are held by the driver.
+Held-out rows are in neither sample.  Scoring reads every whole text.
 
 Edge cases: null and empty texts have no hits and get the score of a text
 without evidence.  Without labelled rows of both classes only the seed lexicon
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm.common import bounded_batches, crc_mod
-from relspark.llm.learning import labelled_sample, logistic, sigmoid
+from relspark.llm.learning import labelled_sample, logistic, sigmoid, unlabelled_sample
 from relspark.llm.textops import WORDS_ALNUM, _LOWER, hash_spans, slices, text_buffers, word_spans
 
 #: Common English insults.
@@ -39,6 +41,13 @@ DENSE_MARK = np.uint64(0xA5A5A5A5A5A5A5A5)
 DEPTH = 5.0
 #: A term is dense in a text from this share of its words and two occurrences on.
 DENSE = 0.006
+#: Patterns of the writing: capitals for a third of the letters, repeated exclamation marks, letters hidden behind
+#: symbols, a letter four times in a row, and exclamation marks for a twentieth of the words.
+PATTERNS = ("shouting", "bangs", "masked", "stretched", "exclaiming")
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MASK = np.zeros(256, bool)
+_MASK[np.frombuffer(b"*#@$%", np.uint8)] = True
 
 
 def _terms(data, offsets):
@@ -76,6 +85,40 @@ def counts(col: pa.Array, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def patterns(col: pa.Array) -> np.ndarray:
+    """Which of :data:`PATTERNS` fire in each text."""
+    data, offsets = text_buffers(col)
+    n = len(offsets) - 1
+    lo, hi = int(offsets[0]) if n else 0, int(offsets[-1]) if n else 0
+    if hi == lo:
+        return np.zeros((n, len(PATTERNS)), bool)
+    part, ends = data[lo:hi], offsets - lo
+
+    def total(mask: np.ndarray) -> np.ndarray:
+        """How often the mask holds in each text."""
+        sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        return sums[ends[1:]] - sums[ends[:-1]]
+
+    def run(mask: np.ndarray, k: int) -> np.ndarray:
+        """Where ``k`` bytes in a row are in the mask; the last of them marks the place.  Texts are told apart by their border."""
+        out = mask.copy()
+        for j in range(1, k):
+            out[j:] &= mask[:-j]
+            out[:j] = False
+        inner = ends[1:-1]
+        for j in range(k - 1):  # no run goes over a border
+            at = inner[inner + j < len(out)] + j
+            out[at] = False
+        return out
+
+    letters, caps, bang = _LETTER[part], (part >= 0x41) & (part <= 0x5A), part == 0x21
+    same = np.concatenate([[False], part[1:] == part[:-1]]) & letters
+    masked = run(_MASK[part], 2)
+    masked[2:] &= letters[:-2]
+    n_letters, words = total(letters), total((part == 0x20) | (part == 0x0A)) + 1
+    return np.stack([(total(caps) * 3 >= n_letters) & (n_letters >= 20), total(run(bang, 2)) > 0, total(masked) > 0, total(run(same, 3)) > 0, total(bang) * 20 >= words], 1)
+
+
 def mine(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms of toxic rows that clean rows hardly have, the ones that explain most rows first; and which count by density."""
     n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
@@ -141,11 +184,11 @@ def votes(fired: np.ndarray) -> np.ndarray:
     return np.stack([*fired.T, n >= 2, n >= 4, n == 0], 1) if fired.shape[1] else np.stack([n >= 2, n >= 4, n == 0], 1)
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of the rows, each voter's accuracy as the share of toxic among the rows where it fires, and its share of evidence."""
+def label_model(v: np.ndarray, start: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of the rows from those to ``start`` with, each voter's accuracy as the share of toxic among the rows where it fires, and its share of evidence."""
     v = v.astype(float)
     fires = v.sum(0)
-    post = np.where(v[:, :-1].any(1), 0.9, 0.02)
+    post = start
     share = np.ones(v.shape[1])
     for k in range(rounds):
         toxic = (post @ v + 2 * prior) / (fires + 2)
@@ -157,17 +200,26 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarr
             corr = np.abs(cov / np.outer(sd, sd))
             share = 1 / np.where(corr > 0.3, corr, 0).sum(1).clip(1)
         weight = share * (np.log(toxic / (1 - toxic)) - np.log(prior / (1 - prior)))
-        post = sigmoid(v @ weight + np.log(prior / (1 - prior)))
+        post = _balanced(v @ weight, prior)
     return post, toxic, share
 
 
-def _inputs(n_hits, sizes, by_density):
+def _balanced(evidence: np.ndarray, prior: float) -> np.ndarray:
+    """Posteriors whose mean is the prior: without that the latent class may drift to whatever splits the rows best."""
+    lo, hi = -40.0, 40.0
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if sigmoid(evidence + mid).mean() > prior else (mid, hi)
+    return sigmoid(evidence + (lo + hi) / 2)
+
+
+def _inputs(n_hits, sizes, written, by_density):
     fired = firing(n_hits, sizes, by_density)
     n = np.where(fired, n_hits, 0).sum(1)
-    return np.concatenate([votes(fired).astype(float), np.log1p(n)[:, None], np.log1p(100 * n / np.maximum(sizes, 1))[:, None]], 1)
+    return np.concatenate([written, votes(fired).astype(float), np.log1p(n)[:, None], np.log1p(100 * n / np.maximum(sizes, 1))[:, None]], 1)
 
 
-def fit(sample: list) -> dict:
+def fit(sample: list, unlabelled: list[str] = ()) -> dict:
     texts = [t for _, t, _ in sample]
     y = np.array([l for _, _, l in sample], int)
     seed = np.array([_hash_word(w) for w in SEED_LEXICON], np.uint64)
@@ -176,20 +228,23 @@ def fit(sample: list) -> dict:
     lexicon = np.array(sorted(terms), np.uint64)
     model = {"lexicon": lexicon, "by_density": np.array([terms[int(t)] for t in lexicon])}
     if len(set(y.tolist())) < 2:
-        w = np.zeros(len(lexicon) + 5)
-        w[: len(lexicon)] = 3.0
+        w = np.zeros(len(PATTERNS) + len(lexicon) + 5)
+        w[len(PATTERNS) : len(PATTERNS) + len(lexicon)] = 3.0
         return model | {"w": w, "b": -3.0}
-    parts = [counts(pa.array(texts[lo : lo + 512], pa.large_string()), lexicon) for lo in range(0, len(texts), 512)]
-    n_hits, sizes = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+    texts += list(unlabelled)
+    parts = [(*counts(x, lexicon), patterns(x)) for x in (pa.array(texts[lo : lo + 512], pa.large_string()) for lo in range(0, len(texts), 512))]
+    n_hits, sizes, written = (np.concatenate(x) for x in zip(*parts, strict=True))
     prior = float(np.clip(y.mean(), 0.01, 0.5))
-    post, toxic, share = label_model(votes(firing(n_hits, sizes, model["by_density"])), prior)
-    w, b = logistic(_inputs(n_hits, sizes, model["by_density"]), post)
+    by_term = votes(firing(n_hits, sizes, model["by_density"]))
+    start = np.where(by_term[:, :-1].any(1), 0.9, 0.02)
+    post, toxic, share = label_model(np.concatenate([written, by_term], 1), start, prior)
+    w, b = logistic(_inputs(n_hits, sizes, written, model["by_density"]), post)
     return model | {"w": w, "b": b, "accuracy": toxic, "share": share}
 
 
 def scores(model: dict, col: pa.Array) -> np.ndarray:
     n_hits, sizes = counts(col, model["lexicon"])
-    return sigmoid(_inputs(n_hits, sizes, model["by_density"]) @ model["w"] + model["b"])
+    return sigmoid(_inputs(n_hits, sizes, patterns(col), model["by_density"]) @ model["w"] + model["b"])
 
 
 def _score(model: dict, threshold: float):
@@ -204,7 +259,8 @@ def _score(model: dict, threshold: float):
 def toxicity(docs: DataFrame, labels: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3, max_rows: int = 8_000, max_bytes: int = 48 << 20) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted.  ``held_out``: a condition on the id; such rows teach nothing."""
     bounded_batches(docs.sparkSession)
-    model = fit(labelled_sample(docs, labels, label, ~held_out, max_rows, max_bytes, doc_id, text))
+    sample = labelled_sample(docs, labels, label, ~held_out, max_rows, max_bytes, doc_id, text)
+    model = fit(sample, unlabelled_sample(docs, labels, label, ~held_out, max_rows // 2, max_bytes // 2, doc_id, text) if sample else [])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     return rows.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
