@@ -1,18 +1,21 @@
 """Deterministic sharded WARC writer and reader.
 
 Write: shard bounds on the record id come from exact byte histograms (never
-from samples), so the same rows always make the same shards; each shard is
-sorted and written by one task as gzip members, one a record, and rolls to a
-new file once the compressed size reaches ``roll_bytes``.  Headers, lengths and
-digests are made anew from the payload.  A file is written under a temporary
-name and renamed when whole; the manifest (file, records, bytes, SHA-256) is a
-table that Spark commits at the end, and only files it names count.  A task
+from samples), so the same rows always make the same shards; records of null
+ids, and of one id heavier than a shard, are dealt to several shards by a hash of
+their digest and url.  There are at most ``MAX_SHARDS`` shards, which grow with
+the input beyond that.  Each shard is sorted and written by one task as gzip
+members, one a record, and rolls to a new file once the compressed size reaches
+``roll_bytes``.  Headers, lengths and digests are made anew from the payload.  A
+file is written under a temporary name and renamed when whole; the manifest
+(file, records, bytes, SHA-256) is the Parquet table ``_manifest`` beside the
+files, which Spark commits at the end, and only files it names count.  A task
 that runs twice writes the same bytes under the same names.
 
 Of records with equal payloads of at least ``min_revisit_bytes`` bytes, the one
 with the largest id is a response and the others are revisits of it.
 
-Edge cases: a null payload is empty.  A null id sorts first and never is what
+Edge cases: a null payload is empty.  A null id comes first and never is what
 others refer to while an id exists.  Repeated rows of the largest id are all
 responses.  Null urls get a urn; control characters and blanks in urls are
 percent-encoded.  An empty table gives an empty manifest and no file.  Payloads
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import bounded_batches, materialize, scratch_path
+from relspark.llm.common import bounded_batches, drop_scratch, materialize, scratch_path
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -43,6 +46,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Digest tables of up to this many rows (48 bytes each) are broadcast, larger ones joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
 
+#: Shards at most; the driver sees a few byte counts for each.
+MAX_SHARDS = 50_000
+
 MANIFEST = "shard long, file string, records long, bytes long, sha256 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string"
 
@@ -232,36 +238,42 @@ def _reader(folder: str):
     return run
 
 
-def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int, bins: int = 8, levels: int = 4) -> list[int]:
-    """First ids of the shards: exact byte histograms over the id range, finer where a bin is heavier than a shard.
+def shard_bounds(sizes: DataFrame, shard_bytes: int, least: int, bins: int = 8, levels: int = 8) -> list[tuple[int | None, int]]:
+    """First ids of the id ranges (None: null ids) and into how many shards each is dealt.
 
-    The driver sees at most a small multiple of the number of shards.
+    From exact byte histograms over the id range, finer where a bin is heavier
+    than a shard; only a single id that is heavier is dealt to more than one.
     """
-    lo, hi, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    if lo is None:
+    lo, hi, total, nulls = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes"), F.sum(F.when(F.col("page_id").isNull(), F.col("bytes") + 1))).first()
+    if total is None:
         return []
-    want = max(least, -(-total // shard_bytes))
+    want = min(MAX_SHARDS, max(least, -(-total // shard_bytes)))
+    share = max(1, total / want)
+    bounds: list[tuple[int | None, int]] = [] if nulls is None else [(None, max(1, round(nulls / share)))]
+    if lo is None:
+        return bounds
     width = max(1, -(-(hi - lo + 1) // (want * bins)))
     found = {(lo + r.b * width, width): r.s for r in sizes.where("page_id IS NOT NULL").groupBy(F.floor((F.col("page_id") - lo) / width).cast("long").alias("b")).agg(F.sum("bytes").alias("s")).collect()}
     for _ in range(levels):
-        heavy = [(s, w) for (s, w), n in found.items() if n > 2 * total / want and w > 1]
+        heavy = [(s, w) for (s, w), n in found.items() if n > 2 * share and w > 1]
         if not heavy:
             break
-        starts = np.array(sorted(s for s, _ in heavy), np.int64)
-        spark = sizes.sparkSession
-        wide = dict(heavy)
-        table = spark.createDataFrame([(int(s), int(wide[int(s)]), max(1, -(-wide[int(s)] // 64))) for s in starts], "s long, w long, f long")
-        fine = sizes.join(F.broadcast(table), (F.col("page_id") >= F.col("s")) & (F.col("page_id") < F.col("s") + F.col("w")))
+        table = sizes.sparkSession.createDataFrame([(int(s), int(w), max(1, -(-int(w) // 64))) for s, w in sorted(heavy)], "s long, w long, f long")
+        fine = sizes.join(F.broadcast(table), (F.col("page_id") >= F.col("s")) & (F.col("page_id") < F.col("s") + F.col("w")))  # at most one heavy bin a shard
         fine = fine.groupBy("s", "f", F.floor((F.col("page_id") - F.col("s")) / F.col("f")).cast("long").alias("b")).agg(F.sum("bytes").alias("n")).collect()
         for key in heavy:
             del found[key]
         found |= {(r.s + r.b * r.f, r.f): r.n for r in fine}
-    bounds, held = [], 0
-    for (start, _), n in sorted(found.items()):
-        if not bounds or held + n > total / want and held:
-            bounds.append(start)
-            held = 0
-        held += n
+    held = None
+    for (start, w), n in sorted(found.items()):
+        if w == 1 and n > 2 * share:
+            bounds.append((start, round(n / share)))
+            held = None
+        elif held is None or held and held + n > share:
+            bounds.append((start, 1))
+            held = n
+        else:
+            held += n
     return bounds
 
 
@@ -273,12 +285,15 @@ def write_warc(
     html: str = "html",
     min_revisit_bytes: int = 0,
     shard_bytes: int = 16 << 20,
-    roll_bytes: int = 4 << 20,
+    roll_bytes: int | None = None,
     level: int = 4,
     date: str = "2024-01-01T00:00:00Z",
     least_shards: int = 12,
 ) -> DataFrame:
-    """Write the pages below ``folder``, which all executors share; the manifest comes back."""
+    """Write the pages below ``folder``, which all executors share; the manifest comes back.
+
+    ``roll_bytes`` None: a quarter of a shard's share of the input, 4 MB at least.
+    """
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
@@ -289,21 +304,30 @@ def write_warc(
     rows = rows.join(F.broadcast(same) if n_same <= MAX_BROADCAST_ROWS else same, "sha", "left")
     rows = rows.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("keep")), F.col("keep")))
     bounds = shard_bounds(sizes, shard_bytes, least_shards)
-    edges = np.array(bounds, np.int64)
+    edges = np.array([np.iinfo(np.int64).min if x is None else x for x, _ in bounds], np.int64)
+    deal = np.array([k for _, k in bounds], np.int64)
+    first = np.concatenate([[0], np.cumsum(deal)])
+    if roll_bytes is None:
+        total = sizes.agg(F.sum("bytes")).first()[0] or 0
+        roll_bytes = max(4 << 20, total // max(1, int(first[-1])) // 4)
 
     def shard_of(batches):
         for b in batches:
             ids = b.column(b.schema.get_field_index("page_id"))
             at = np.maximum(np.searchsorted(edges, np.asarray(ids.fill_null(np.iinfo(np.int64).min)), "right") - 1, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(b.column(k) for k in range(b.num_columns))], ["shard", *b.schema.names])
+            turn = np.asarray(b.column(b.schema.get_field_index("turn"))) % deal[at]
+            yield pa.RecordBatch.from_arrays([pa.array((first[at] + turn).astype(np.int32)), *(b.column(k) for k in ("page_id", "url", "html", "refers_to"))], ["shard", "page_id", "url", "html", "refers_to"])
 
-    rows = rows.select("page_id", "url", "html", "refers_to").mapInArrow(shard_of, "shard int, page_id long, url string, html string, refers_to long")
-    rows = rows.repartitionById(max(1, len(bounds)), "shard").sortWithinPartitions("shard", "page_id", "url", "refers_to", "html")
+    rows = rows.withColumn("turn", F.xxhash64("sha", "url").bitwiseAND((1 << 62) - 1))
+    rows = rows.select("page_id", "url", "html", "refers_to", "turn").mapInArrow(shard_of, "shard int, page_id long, url string, html string, refers_to long")
+    rows = rows.repartitionById(max(1, int(first[-1])), "shard").sortWithinPartitions("shard", "page_id", "url", "refers_to", "html")
     fs, root = _open_fs(folder)
     fs.create_dir(f"{root}/_temporary", recursive=True)
-    manifest = materialize(rows.mapInArrow(_writer(folder, roll_bytes, level, date), MANIFEST), "warc-manifest")
+    rows.mapInArrow(_writer(folder, roll_bytes, level, date), MANIFEST).write.parquet(f"{folder}/_manifest")
     fs.delete_dir(f"{root}/_temporary")
-    return manifest
+    for x in (sizes, same):
+        drop_scratch(x)
+    return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
 def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
