@@ -15,7 +15,8 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_mix_sources": mixing.query,
-    # Another mode of op2.
+    # Other modes of op2 and op7.
+    "chat_dialogues": chat_rotation.dialogue_query,
     "decontamination_proximity": decontamination.proximity_query,
 }
 
@@ -27,5 +28,6 @@ ORACLES: dict[str, str] = {
     "op7_chat_rotation": chat_rotation.ORACLE,
     "op8_near_dedup": near_dedup.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "chat_dialogues": chat_rotation.DIALOGUE_ORACLE,
     "decontamination_proximity": decontamination.PROXIMITY_ORACLE,
 }

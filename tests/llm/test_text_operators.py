@@ -354,12 +354,30 @@ def test_chat_rotation(spark):
     ann = {r.turn: r for r in one if r.perspective == "ann"}
     assert ann[0].segment == "<|im_start|>system\nbe kind<|im_end|>\n" and ann[0].mask_start == -1
     assert ann[1].segment == "<|im_start|>assistant\nhi<|im_end|>\n" and ann[1].segment[ann[1].mask_start : ann[1].mask_end] == "hi<|im_end|>"
-    assert ann[2].segment == "<|im_start|>user name=bob_lee\nyo < |im_end|><|im_end|>\n" and ann[2].mask_end == -1
+    assert ann[2].segment == "<|im_start|>user name=bob%20lee\nyo < |im_end|><|im_end|>\n" and ann[2].mask_end == -1
     assert ann[3].segment == "<|im_start|>assistant\n<|im_end|>\n"
     assert not [r for r in out if r.conv_id == 2]
     assert [(r.perspective, r.role) for r in out if r.conv_id is None] == [("unknown", "assistant")] * 2
 
 
+def test_dialogues(spark):
+    """Ties are ordered by speaker and segment; long dialogues stay segments; names stay apart."""
+    rows = [(1, 0, "a b", "zwei"), (1, 0, "a_b", "eins"), (1, 0, "a b", "drei"), (1, None, "system", "start"), (1, 2, "a_b", "x" * 5000), (2, 0, "u", "y" * 90_000), (2, 1, "v", "short"), (2, 1, "v", "short"), (None, 0, None, "?")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    segments = chat_rotation.rotate_perspectives(df.repartition(3))
+    whole, rest = chat_rotation.dialogues(segments, 20_000)
+    got = {(r.conv_id, r.perspective): r for r in whole.collect()}
+    assert set(got) == {(1, "a b"), (1, "a_b"), (None, "unknown")}
+    one = got[1, "a b"]
+    order = ["start", "drei", "zwei", "eins", "x" * 5000]
+    assert [one.text.index(x) for x in order] == sorted(one.text.index(x) for x in order) and one.n_turns == 5
+    assert [one.text[m.start : m.end] for m in one.masks] == ["drei<|im_end|>", "zwei<|im_end|>"]
+    assert "name=a%20b" in got[1, "a_b"].text and "name=a_b" in one.text
+    assert {(r.conv_id, r.perspective) for r in rest.collect()} == {(2, "u"), (2, "v")} and rest.count() == 6
+    none = chat_rotation.rotate_perspectives(df.limit(0))
+    assert none.isEmpty() and all(x.isEmpty() for x in chat_rotation.dialogues(none))
+
+
 def test_mixing(spark, docs):
     out = mixing.mix_sources(docs).collect()
     again = mixing.mix_sources(docs.repartition(3)).collect()
@@ -411,5 +429,11 @@ def test_warc(spark):
     assert sorted(map(tuple, twin.collect())) == sorted(map(tuple, manifest.collect()))  # same names, sizes and hashes
     none = warc.write_warc(df.limit(0), scratch_path(spark, "warc-test"))
     assert none.count() == 0
+    assert spark.read.parquet(f"{folder}/_manifest").count() == manifest.count()
+    # One heavy id and null ids are dealt to several shards, the same ones each time.
+    many = spark.createDataFrame([(k, None, f"{n} " + "w" * 400) for n in range(200) for k in (None, 7)] + [(n, None, "p" * n) for n in range(50)], "page_id long, url string, html string")
+    runs = [warc.write_warc(many.repartition(k), scratch_path(spark, "warc-test"), shard_bytes=8_000, least_shards=2) for k in (2, 5)]
+    a, b = (sorted(map(tuple, x.collect())) for x in runs)
+    assert a == b and sum(x[2] for x in a) == 450 and max(x[2] for x in a) < 100 and len(a) > 10
     kept = warc.write_warc(df, scratch_path(spark, "warc-test"), min_revisit_bytes=10)
     assert kept.count() >= 1
