@@ -345,3 +345,26 @@ def test_reads(worlds):
     assert at.scan("Kind").count() == 3
     with pytest.raises(QueryError, match="NoSuchKey"):
         at.get("A", grp=1)
+
+
+def test_unions_hold_no_answer_twice(spark):
+    """Whichever of a union's rules are dead, folded away or proven distinct by themselves."""
+    import itertools
+
+    from relspark.schema import Key, Schema, relation
+    from relspark.types import I64
+
+    one = Schema((relation("A", id=I64(), v=I64()), relation("B", id=I64(), a=I64())), (Key("A", ("id",)), Key("B", ("id",))))
+    at = Instance(spark, one, {"A": spark.range(6).selectExpr("id", "id % 2 AS v"), "B": spark.range(9).selectExpr("id", "id % 3 AS a")}, sets=None)
+    rules = [
+        rule([V.x], atom("A", id=V.x), lt(V.x, 1), gt(V.x, 5)),
+        rule([V.x], atom("B", id=V.b, a=V.x)),
+        rule([V.x], atom("A", id=V.x)),
+        rule([V.x], atom("A", id=V.i, v=V.x)),
+        rule([V.x], atom("A", id=V.x, v=V.w), gt(V.w, 0)),
+    ]
+    means = [set(), {0, 1, 2}, set(range(6)), {0, 1}, {1, 3, 5}]
+    for n in (1, 2, 3):
+        for picked in itertools.permutations(range(5), n):
+            got = [r[0] for r in at.run(query(*(rules[k] for k in picked))).collect()]
+            assert sorted(got) == sorted(set().union(*(means[k] for k in picked))), picked
