@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.functions.allen import allen, point_in
+from relspark.functions.allen import AFTER, BEFORE, MEETS, MET_BY, allen, point_in, terms
 from relspark.functions.measure import measure
 from relspark.ir import Agg, Allen, And, Compare, Duration, Lit, Or, Param, ParamSet, PointIn, Var, condition_vars, has_measure
+from relspark.operators.overlap import Side, overlap_join
 from relspark.plans.rewrite import InSet, Options, conjuncts, distinct_proven, dead_by_ranges, drop_references, fold_closed
 from relspark.plans.validate import TypedRule
 from relspark.types import Interval, U64, ray_end, spark_type, to_physical
@@ -169,6 +171,48 @@ class RuleCompiler:
             have |= names(a)
         return out
 
+    def _sides(self, conds, members, have, own, left, right, origins) -> tuple[Side, Side] | None:
+        """Spans of both sides that the conditions want to share a point, if there are any."""
+
+        def side(v, t, closed=False):
+            if not isinstance(t, Interval):
+                return Side(F.col(f"v_{v}"), F.col(f"v_{v}"), origins[f"v_{v}"])
+            return span(f"v_{v}_s", f"v_{v}_e", closed)
+
+        def span(s, e, closed=False):
+            return Side(F.col(s), F.col(e) if closed else F.col(e) - 1, origins[s])
+
+        new = own - have
+        for v, s, e in members:
+            if v in have and s in right.columns:
+                return side(v, None), span(s, e)
+            if v in new and s in left.columns:
+                return span(s, e), side(v, None)
+        for c, types in conds:
+            if isinstance(c, Allen) and not c.mask & (BEFORE | AFTER):
+                pair, closed = (c.left, c.right), bool(c.mask & (MEETS | MET_BY))
+                any_of = terms(c.mask)[1]
+                if len(any_of) == 1 and any(t[1] == "=" for t in any_of[0]):
+                    continue  # an equi-join already
+            elif isinstance(c, PointIn):
+                pair, closed = (c.interval, c.point), False
+            else:
+                continue
+            if all(isinstance(x, Var) for x in pair):
+                a, b = sorted((x.name for x in pair), key=lambda v: v in new)
+                if a in have and b in new:
+                    return side(a, types[a], closed), side(b, types[b], closed)
+        return None
+
+    def _without_hits(self, df, frame, members, types, origins) -> DataFrame:
+        """Rows of which no span of ``frame`` holds the point; no other column is shared."""
+        v, s, e = members[0]
+        points = df.select(f"v_{v}").distinct()
+        on = point_in(F.col(f"v_{v}"), F.col(s), F.col(e))
+        hits = overlap_join(points, frame, Side(F.col(f"v_{v}"), F.col(f"v_{v}"), origins[f"v_{v}"]), Side(F.col(s), F.col(e) - 1, frame), on)
+        hits = hits.select(F.col(f"v_{v}").alias("hit_")).distinct()
+        return df.join(hits, F.col(f"v_{v}") == F.col("hit_"), "left_anti")
+
     def bindings(self, r: TypedRule) -> DataFrame | None:
         """One row a binding of the rule's variables, without repeats; None for a rule that can't hold."""
         o = self.options
@@ -192,10 +236,14 @@ class RuleCompiler:
             needed |= {t.name for _, t in a.bindings if isinstance(t, Var)}
         atoms = self._order(list(rule.atoms), types)
         df, have, waiting = None, set(), []
+        origins: dict[str, DataFrame] = {}
+        proven = o.skip_distinct and distinct_proven(r, self.schema, self.loose)
+        early = None if proven else self._early(r, atoms, sets)
         for n, a in enumerate(atoms):
             frame, own, members = self.atom(a, types)
             members = [(v, f"k{n}_{s}", f"k{n}_{e}") for v, s, e in members]
             frame = frame.select(*(F.col(c).alias(f"k{n}_{c}") if c.startswith("m_") else F.col(c) for c in frame.columns))
+            origins = {c: frame for c in frame.columns} | origins
             if not a.bindings or not own and not members:
                 frame = frame.limit(1).select(F.lit(1).alias(f"gate_{n}"))
                 df = frame if df is None else df.join(F.broadcast(frame), F.lit(True), "left_semi")
@@ -209,14 +257,23 @@ class RuleCompiler:
             extra = [self.condition(c, types) for c in ready] + [point_in(F.col(f"v_{v}"), F.col(s), F.col(e)) for v, s, e in ready_m]
             if df is None:
                 df = reduce(lambda d, c: d.where(c), extra, frame)
+                df = df.distinct() if a is early else df
                 have |= set(own)
                 continue
             later = needed | {v for vs, _ in conds for v in vs} | {v for v, _, _ in waiting} | {t.name for x in atoms[n + 1 :] for _, t in x.bindings if isinstance(t, Var)}
             semi = o.semi_joins and not new & later and all(m in ready_m for m in members)
             shared = [c for v in own if v in have for c in columns_of(v, types[v])]
             right = frame.select(*(F.col(c).alias(f"r_{c}") if c in shared else F.col(c) for c in frame.columns))
+            right = right.distinct() if a is early else right
             on = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"r_{c}") for c in shared] + extra, F.lit(True))
-            df = df.join(right, on, "left_semi" if semi else "inner")
+            keyed = bool(shared) or any(isinstance(c, Compare) and c.op == "==" for c in ready)
+            sides = self._sides([(c, types) for c in ready], ready_m, have, set(own), df, right, origins) if o.bucket_spans == "all" or o.bucket_spans == "keyless" and not keyed else None
+            if sides:
+                semi = False
+                df = overlap_join(df, right, *sides, on)
+                self.applied.append(f"buckets {a.source}")
+            else:
+                df = df.join(right, on, "left_semi" if semi else "inner")
             if semi:
                 self.applied.append(f"semi join {a.source}")
             else:
@@ -229,6 +286,10 @@ class RuleCompiler:
                 df = df.join(F.broadcast(frame.limit(1)), F.lit(True), "left_anti")
                 continue
             shared = [c for v in own for c in columns_of(v, types[v])]
+            if not shared and len(members) == 1 and o.bucket_spans != "off":
+                df = self._without_hits(df, frame, members, types, origins)
+                self.applied.append(f"buckets not {a.source}")
+                continue
             right = frame.select(*(F.col(c).alias(f"r_{c}") for c in frame.columns))
             on = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"r_{c}") for c in shared] + [point_in(F.col(f"v_{v}"), F.col(f"r_{s}"), F.col(f"r_{e}")) for v, s, e in members], F.lit(True))
             df = df.join(right, on, "left_anti")
@@ -238,12 +299,30 @@ class RuleCompiler:
             pred = self.condition(c, types)
             self.probes.append(df.where(pred.isNull()))
             df = df.where(pred)
-        if o.skip_distinct and distinct_proven(r, self.schema, self.loose):
+        if proven:
             self.applied.append("distinct skipped")
             return df
+        if early is not None:
+            self.applied.append(f"distinct before joins {early.source}")
+            return df
         aggregated = any(isinstance(f, Agg) for f in rule.finds)
         return df.distinct() if aggregated else df
 
+    def _early(self, r: TypedRule, atoms, sets):
+        """The atom whose repeats alone can make a fold's bindings repeat, if nothing outside it thins its rows before they are made distinct."""
+        if not self.options.skip_distinct or not any(isinstance(f, Agg) for f in r.rule.finds) or r.rule.negated or len(atoms) < 2:
+            return None
+        alone = [(a, replace(r, rule=replace(r.rule, atoms=(a,)))) for a in atoms if a.bindings]
+        open_ = [a for a, one in alone if not distinct_proven(one, self.schema, self.loose)]
+        if len(open_) != 1:
+            return None
+        (a,) = open_
+        names = {t.name for _, t in a.bindings if isinstance(t, Var)}
+        outside = any(not isinstance(t, Var) for x in atoms if x is not a for _, t in x.bindings)
+        filtered = any(not condition_vars(c) <= names for c in conjuncts(r.rule)) or any(s.var not in names for s in sets)
+        points = any(isinstance(t, Var) and not isinstance(r.types[t.name], Interval) and isinstance(self._field(x.source, f)[1], Interval) for x in atoms for f, t in x.bindings)
+        return None if outside or filtered or points else a
+
     def may_be_ray(self, t) -> bool:
         return t.width is None
 

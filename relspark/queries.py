@@ -178,6 +178,9 @@ add("calendar_meets_chain", query(rule([V.u, V.a, V.b], atom("EventSpan", user=V
 add("calendar_claim_hours", query(rule([V.u, sum_(duration(V.d))], atom("EventSpan", user=V.u, type=V.k, during=V.d))), ["user", "micros"], 'SELECT "user", CAST(sum(e - s) AS DECIMAL(20,0)) AS micros FROM span_ GROUP BY "user"')
 add("calendar_slot_booking", query(rule([V.u, V.a, V.b], atom("EventSpan", user=V.u, type=2, during=V.a), atom("Shipment", part=V.u, during=V.b), allen("during", V.a, V.b))), ["user", "a", "b"], 'SELECT DISTINCT x."user", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM span_ x JOIN ship_ y ON y.part = x."user" WHERE x.type = 2 AND y.s < x.s AND x.e < y.e')
 add("keyless_overlap", query(rule([V.a, V.b], atom("EventSpan", type=3, during=V.a), atom("EventSpan", type=1, during=V.b), allen("intersects", V.a, V.b))), ["a", "b"], "SELECT DISTINCT x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM span_ x JOIN span_ y ON x.s < y.e AND y.s < x.e WHERE x.type = 3 AND y.type = 1")
+add("keyless_point", query(rule([V.o], atom("Order", id=V.o, placed=V.a), atom("EventSpan", type=1, during=V.a))), ["order"], 'SELECT DISTINCT o.id AS "order" FROM order_ o JOIN span_ x ON x.s <= o.placed AND o.placed < x.e WHERE x.type = 1')
+add("keyless_not_covered", query(rule([V.o], atom("Order", id=V.o, placed=V.a), Not(atom("EventSpan", type=1, during=V.a)))), ["order"], 'SELECT DISTINCT id AS "order" FROM order_ o WHERE NOT EXISTS (SELECT 1 FROM span_ x WHERE x.type = 1 AND x.s <= o.placed AND o.placed < x.e)')
+add("overlap_hot_users", query(rule([V.u, V.a, V.b], atom("EventSpan", user=V.u, type=4, during=V.a), atom("EventSpan", user=V.u, type=0, during=V.b), allen("intersects", V.a, V.b))), ["user", "a", "b"], 'SELECT DISTINCT x."user", x.s AS a_start, x.e AS a_end, y.s AS b_start, y.e AS b_end FROM span_ x JOIN span_ y ON x."user" = y."user" AND x.s < y.e AND y.s < x.e WHERE x.type = 4 AND y.type = 0', options=Options(bucket_spans="all"))
 
 # Closed vocabularies
 add("closed_vocab_filter", query(rule([V.u, count()], atom("Event", id=V.i, user=V.u, type=V.k), atom("EventType", id=V.k, valued=True))), ["user", "n"], 'SELECT "user", count(*) AS n FROM event_ WHERE type IN (2, 3) GROUP BY "user"')

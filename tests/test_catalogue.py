@@ -10,7 +10,7 @@ TABLES = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
 
-SOME = ["walk_customer_orders", "triangle_part_supp_order", "or_tree", "gate_empty_negated", "customers_without_orders", "union_overlap", "bool_any_all", "global_sum_empty", "point_in_span", "allen_intersects", "ship_overlaps", "interval_ne", "duration_filter", "pack_union", "roots_not_reached", "fk_elim_on", "fk_elim_off", "pointwise_violations", "change_violations", "capacity_violations", "union_dead_first", "union_dead_last", "graph_triangles", "ring_of_four", "olap_buyers_of_brand", "join_chain_back", "calendar_conflict_free", "keyless_overlap"]
+SOME = ["walk_customer_orders", "triangle_part_supp_order", "or_tree", "gate_empty_negated", "customers_without_orders", "union_overlap", "bool_any_all", "global_sum_empty", "point_in_span", "allen_intersects", "ship_overlaps", "interval_ne", "duration_filter", "pack_union", "roots_not_reached", "fk_elim_on", "fk_elim_off", "pointwise_violations", "change_violations", "capacity_violations", "union_dead_first", "union_dead_last", "graph_triangles", "ring_of_four", "olap_buyers_of_brand", "join_chain_back", "calendar_conflict_free", "keyless_overlap", "keyless_point", "keyless_not_covered", "overlap_hot_users", "revenue_by_nation"]
 
 
 @pytest.fixture(scope="module")

@@ -1,12 +1,15 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from relspark.builder import Not, P, S, V, all_of, allen, any_of, atom, count, duration, eq, ge, gt, le, lt, max_, min_, ne, pack, point_in, query, rule, sum_
 from relspark.engine import Instance, facts_frame
 from relspark.errors import BindError, ExecutionError, QueryError
 from relspark.functions.allen import BASICS, BIT, FULL, classify, converse, terms
 from relspark.ir import Agg, Allen, Atom, Compare, Duration, Lit, Query, Rule, Var
+from relspark.operators.overlap import Side, overlap_join
 from relspark.plans.parse import parse
 from relspark.plans.render import render
 from relspark.plans.rewrite import Options
@@ -68,6 +71,12 @@ CASES = {
     "point_in": query(rule([V.g, V.d], atom("Sp", grp=V.g, during=V.d), point_in(V.d, 4))),
     "allen_join": query(rule([V.g, V.a, V.b], atom("Sp", grp=V.g, during=V.a), atom("Sp", grp=V.g, during=V.b), allen("intersects", V.a, V.b), ne(V.a, V.b))),
     "allen_mixed": query(rule([V.a, V.b], atom("Sp", grp=V.g, during=V.a), atom("Sp", grp=V.g, during=V.b), allen("meets|starts|contains", V.a, V.b))),
+    "keyless_overlap": query(rule([V.a, V.b], atom("Sp", grp=1, during=V.a), atom("Sp", grp=2, during=V.b), allen("intersects", V.a, V.b))),
+    "keyless_touch": query(rule([V.g, V.h, V.a], atom("Sp", grp=V.g, during=V.a), atom("Sp", grp=V.h, during=V.b), allen("meets|overlaps|during", V.a, V.b))),
+    "keyless_membership": query(rule([V.i, V.v], atom("B", a=V.i, val=V.v), atom("Sp", during=V.v))),
+    "keyless_membership_count": query(rule([V.v, count()], atom("B", a=V.i, val=V.v), atom("Sp", grp=V.g, during=V.v))),
+    "keyless_point_in": query(rule([V.g, V.d, V.v], atom("Sp", grp=V.g, during=V.d), atom("B", val=V.v), point_in(V.d, V.v))),
+    "keyless_not_covered": query(rule([V.v], atom("B", val=V.v), Not(atom("Sp", during=V.v)))),
     "span_equal": query(rule([V.g, V.h], atom("Sp", grp=V.g, during=V.d), atom("Sp", grp=V.h, during=V.d), lt(V.g, V.h))),
     "count": query(rule([V.g, count()], atom("A", id=V.i, grp=V.g))),
     "sum_domain": query(rule([V.g, sum_(V.v)], atom("A", id=V.i, grp=V.g), atom("B", a=V.i, val=V.v))),
@@ -99,7 +108,57 @@ def test_against_model(worlds, name):
     assert at.prepare(q).collect() == naive.answers(q.rules, state)
 
 
-ALL_OFF = Options(False, False, False, False, False, False)
+ALL_OFF = Options(False, False, False, False, False, False, bucket_spans="off")
+
+
+@pytest.mark.parametrize("name", [n for n, q in CASES.items() if "during" in repr(q)])
+def test_spans_by_buckets(worlds, name):
+    state, at = worlds(5)
+    q = CASES[name]
+    want = naive.answers(q.rules, state)
+    for how in ("keyless", "all", "off"):
+        p = at.prepare(q, Options(bucket_spans=how))
+        assert p.collect() == want
+        assert any(x.startswith("buckets") for x in p.explain()) == (how != "off" and ("keyless" in name or name == "membership") or how == "all" and name in ("allen_join", "allen_mixed"))
+
+
+@pytest.mark.parametrize("kind", ["long", "decimal(20,0)"])
+def test_overlap_join(spark, kind):
+    """Bags against all pairs: lengths of one to a whole domain, ties, repeats, negative starts, an empty side."""
+    r = random.Random(11)
+    low, top = (-(2**63), RAY) if kind == "long" else (0, 2**64 - 1)
+
+    def spans(n):
+        out = [(low, top), (top - 1, top), (low, low + 1), (5, 6), (5, 6), (4, 8), (0, top)]
+        for _ in range(n):
+            s = r.choice([r.randrange(0, 60), r.randrange(0, 10**6), max(low, -r.randrange(1, 10**4)), r.randrange(0, 2**62)])
+            out.append((s, min(top, s + r.choice([1, 1, 4, 16, 17, r.randrange(1, 10**5), 2**r.randrange(1, 62)]))))
+        return out
+
+    xs, ys = spans(120), spans(150)
+    frame = lambda rows, a, b: spark.createDataFrame([(str(s), str(e)) for s, e in rows], "s string, e string").selectExpr(f"cast(s as {kind}) {a}", f"cast(e as {kind}) {b}")
+    x, y = frame(xs, "s", "e"), frame(ys, "S_", "E_")
+    on = (F.col("s") < F.col("E_")) & (F.col("S_") < F.col("e"))
+    sides = Side(F.col("s"), F.col("e") - 1, x), Side(F.col("S_"), F.col("E_") - 1, y)
+    got = Counter(tuple(map(int, row)) for row in overlap_join(x, y, *sides, on).collect())
+    assert got == Counter((s, e, S, E) for s, e in xs for S, E in ys if s < E and S < e)
+    none = y.where("false")
+    assert overlap_join(x, none, sides[0], Side(F.col("S_"), F.col("E_") - 1, none), on).isEmpty()
+
+
+def test_repeats_go_before_joins(spark):
+    """A fold over a relation whose frame holds rows twice; its repeats alone are dropped, before the join."""
+    rows = [{"a": i % 5, "val": i % 3} for i in range(60)]
+    a = [{"id": i, "grp": i % 2, "name": "x", "flag": True, "kind": 0} for i in range(5)]
+    at = Instance(spark, SCHEMA, {"A": facts_frame(spark, SCHEMA["A"], a), "B": facts_frame(spark, SCHEMA["B"], rows)}, sets={"A"})
+    state = {"A": a, "B": [dict(t) for t in {tuple(sorted(x.items())) for x in rows}]}
+    q = query(rule([V.g, sum_(V.v), count()], atom("A", id=V.i, grp=V.g), atom("B", a=V.i, val=V.v)))
+    p = at.prepare(q)
+    assert p.collect() == naive.answers(q.rules, state)
+    assert "distinct before joins B" in p.explain()
+    q = query(rule([V.g, sum_(V.v)], atom("A", id=V.i, grp=V.g, name="x"), atom("B", a=V.i, val=V.v)))
+    p = at.prepare(q)
+    assert p.collect() == naive.answers(q.rules, state) and "distinct before joins B" not in p.explain()
 
 
 @pytest.mark.parametrize("name", ["closed", "closed_negated", "reference", "dead", "subsumed", "join", "self_join", "union"])
