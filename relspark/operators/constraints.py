@@ -54,16 +54,23 @@ def _shown(c: str, df: DataFrame) -> Column:
     return (F.hex(c) if kind == "binary" else F.col(c).cast("string") if kind == "decimal" else F.col(c)).alias(c)
 
 
-def key_offenders(df: DataFrame, r: Relation, key: Key) -> DataFrame:
+def key_offenders(df: DataFrame, r: Relation, key: Key, loose: bool = False) -> DataFrame:
     """Facts that share a key; with an interval, facts that overlap another of their group.
 
     The whole facts are compared through running maxima, so every fact of an
-    overlap is listed, not only neighbours.
+    overlap is listed, not only neighbours.  A ``loose`` frame may hold a fact
+    twice: rows are counted by key first, and only those of repeated keys are
+    made distinct, so a valid relation is shuffled by its keys alone.
     """
     scalars, span = split_interval(r, key.fields)
+
+    def sharing(d):
+        twice = d.groupBy(*scalars).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1").drop("n_")
+        return d.join(twice, scalars, "left_semi")
+
     if span is None:
-        twice = df.groupBy(*scalars).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1").drop("n_")
-        return df.join(twice, scalars, "left_semi")
+        return sharing(sharing(df).distinct()) if loose else sharing(df)
+    df = df.distinct() if loose else df
     s, e = f"{span}_start", f"{span}_end"
     w = Window.partitionBy(*scalars).orderBy(s, e)
     back = Window.partitionBy(*scalars).orderBy(F.col(s).desc(), F.col(e).desc())
@@ -124,9 +131,17 @@ def refuse_ray_weights(frames: dict[str, DataFrame], schema: Schema) -> None:
                 raise ExecutionError("CapacityRayMeasure", r.name)
 
 
-def violations(frames: dict[str, DataFrame], schema: Schema, keys_first: bool = True) -> DataFrame:
-    """All violations of a state, sorted by nothing; an empty DataFrame accepts it."""
-    keys = [_row(key_offenders(frames[st.relation], schema[st.relation], st), schema[st.relation], i, "source") for i, st in enumerate(schema.statements) if isinstance(st, Key) and not schema[st.relation].closed]
+def violations(frames: dict[str, DataFrame], schema: Schema, keys_first: bool = True, loose: set[str] = frozenset()) -> DataFrame:
+    """All violations of a state, sorted by nothing; an empty DataFrame accepts it.
+
+    Frames of ``loose`` relations may hold a fact twice: where repeats don't
+    show in the verdict, only the offenders are made distinct.
+    """
+
+    def once(df, name):
+        return df.distinct() if name in loose else df
+
+    keys = [_row(key_offenders(frames[st.relation], schema[st.relation], st, st.relation in loose), schema[st.relation], i, "source") for i, st in enumerate(schema.statements) if isinstance(st, Key) and not schema[st.relation].closed]
     if keys_first:
         found = materialize(_union(keys, frames), "key-violations")  # found once, not once to see whether there are any and once more
         if not found.isEmpty():
@@ -136,10 +151,10 @@ def violations(frames: dict[str, DataFrame], schema: Schema, keys_first: bool =
     for i, st in enumerate(schema.statements):
         if isinstance(st, Contained):
             sr, tr = schema[st.source.relation], schema[st.target.relation]
-            rest.append(_row(uncovered(select_side(frames[sr.name], sr, st.source), sr, select_side(frames[tr.name], tr, st.target), tr, st), sr, i, "source"))
+            rest.append(_row(once(uncovered(select_side(frames[sr.name], sr, st.source), sr, select_side(frames[tr.name], tr, st.target), tr, st), sr.name), sr, i, "source"))
         elif isinstance(st, Capacity):
             sr, tr = schema[st.source.relation], schema[st.target.relation]
-            rest.append(_row(overfull(select_side(frames[tr.name], tr, st.target), tr, select_side(frames[sr.name], sr, st.source), sr, st), tr, i, "target"))
+            rest.append(_row(once(overfull(select_side(frames[tr.name], tr, st.target), tr, once(select_side(frames[sr.name], sr, st.source), sr.name), sr, st), tr.name), tr, i, "target"))
     return _union(rest if keys_first else keys + rest, frames)
 
 

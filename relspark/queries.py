@@ -216,7 +216,8 @@ add_read("relation_count", lambda spark, d: load(spark, d).scan("Line").agg(F.co
 # Constraint judgments: the violations themselves
 def _judge(picked):
     def run(spark, sf_dir):
-        out = violations(load(spark, sf_dir, JUDGED).facts, JUDGED, keys_first=False)
+        at = load(spark, sf_dir, JUDGED)
+        out = violations(at.frames, JUDGED, keys_first=False, loose=at.loose)
         return out.where(F.col("statement") == picked)
 
     return run

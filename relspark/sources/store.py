@@ -205,7 +205,7 @@ class Store:
         meta = {"format": FORMAT, "fingerprint": schema.fingerprint(), "schema": schema.to_json(), "number": -1, "generation": 0, "folders": {}, "next": {}}
         store = Store(spark, root, schema, meta)
         if instance is not None:
-            found = Found.of(violations(instance.facts, schema))
+            found = Found.of(violations(instance.frames, schema, loose=instance.loose))
             if found:
                 raise StoreError("NotAdmitted", root, violations=found)
             meta["folders"] = {r.name: [["insert", store._put(r.name, instance.scan(r.name))]] for r in schema.relations if not r.closed}

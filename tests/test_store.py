@@ -67,6 +67,20 @@ def test_capacity(spark):
     assert violations(at, floor).count() == 2  # parents without selected children break a floor
 
 
+def test_repeated_rows_break_nothing(spark):
+    """Frames that hold facts twice are judged as the sets that they stand for."""
+    rel = relation("P", id=I64(), at=Interval(I64()), w=I64()), relation("C", p=I64(), w=I64())
+    schema = Schema(rel, (Key("P", ("id",)), Contained(side("C", "p"), side("P", "id")), Capacity(side("P", "id"), side("C", "p"), 1, 5, weight="w"), Key("P", ("w", "at"))))
+    ps = [{"id": i, "at": (k, k + 2), "w": 1} for i, k in ((1, 0), (2, 2), (3, 9), (3, 12), (4, 3))]
+    cs = [{"p": p, "w": w} for p, w in ((1, 2), (1, 3), (2, 5), (2, 1), (9, 1), (4, 4))]
+    once = {"P": facts_frame(spark, rel[0], ps), "C": facts_frame(spark, rel[1], cs)}
+    twice = {n: f.union(f) for n, f in once.items()}
+    for first in (True, False):
+        want = sorted(violations(once, schema, keys_first=first).collect())
+        assert want and want == sorted(violations(twice, schema, keys_first=first, loose={"P", "C"}).collect())
+    assert {r.statement for r in violations(once, schema, keys_first=False).collect()} == {0, 1, 2, 3}
+
+
 def test_store_writes(spark, tmp_path):
     store = Store.create(spark, f"file://{tmp_path}/s", SCHEMA)
     with pytest.raises(StoreError, match="DestinationExists"):
