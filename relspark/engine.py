@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,33 @@ class Instance:
         return self.prepare(query, options).execute(names=names, **params)
 
 
+@dataclass(frozen=True)
+class Step:
+    """What a step made: rows that Catalyst expects (by size, where it keeps no count) and rows that came."""
+
+    unit: str
+    step: str
+    estimate: int
+    rows: int
+
+
+@dataclass(frozen=True)
+class Analysis:
+    rewrites: list[str]
+    steps: list[Step]
+    plan: str
+
+    def __str__(self) -> str:
+        return "\n".join([*(f"rewrite: {x}" for x in self.rewrites), *(f"{s.unit}: {s.step}: {s.rows} rows (estimate {s.estimate})" for s in self.steps), self.plan])
+
+
+def _estimate(df: DataFrame) -> int:
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    if stats.rowCount().isDefined():
+        return int(str(stats.rowCount().get()))
+    return int(str(stats.sizeInBytes())) // (8 + df._jdf.schema().defaultSize())
+
+
 class Prepared:
     def __init__(self, instance: Instance, typed: TypedQuery, options: Options, max_rounds: int, max_tuples: int):
         self.instance, self.typed, self.options = instance, typed, options
@@ -137,14 +165,30 @@ class Prepared:
 
     def execute(self, instance: Instance | None = None, names: list[str] | None = None, **params) -> DataFrame:
         """The answers, distinct.  ``names`` rename the columns c0, c1, ... (an interval's get ``_start`` and ``_end``)."""
+        return self._execute(instance, names, params)[0]
+
+    def analyze(self, instance: Instance | None = None, **params) -> Analysis:
+        """Runs the query step by step, one count a step, and tells what the steps made: for study, at several times the cost of the answers."""
+        out, rc = self._execute(instance, None, params, steps=True)
+        rows = [Step(unit, label, _estimate(df), df.count()) for unit, label, df in rc.steps]
+        return Analysis(list(rc.applied), rows, out._jdf.queryExecution().toString())
+
+    def _execute(self, instance, names, params, steps: bool = False) -> tuple[DataFrame, RuleCompiler]:
         at = instance or self.instance
         if at.schema is not self.instance.schema:
             raise BindError("ForeignPreparedQuery")
         t = self.typed
         rc = RuleCompiler(at.schema, at.frames.copy(), t.tables, self.bind(params), self.options, at.counts, at.loose)
-        trim = collapse if self.options.collapse_rules else list
+        rc.steps = [] if steps else None
+
+        def trim(rules):
+            left = collapse(rules) if self.options.collapse_rules else list(rules)
+            rc.applied.extend(f"{rc.unit}: rule {k} subsumed" for k, r in enumerate(rules) if not any(r is x for x in left))
+            return left
+
         uses, tuples = self._uses(), 0
         for i in t.query.interiors:
+            rc.unit = i.name
             out = evaluate(rc, trim(t.interiors[i.name]), t.tables[i.name])
             if t.rec or uses[i.name] > 1:  # evaluated once, whatever reads it and in whichever round
                 out = materialize(out, "interior")
@@ -153,6 +197,7 @@ class Prepared:
         if t.rec:
             rec = t.query.rec
             rc.frames[rec.name] = fixpoint(rc, rec.name, *t.rec, t.tables[rec.name], self.max_rounds, self.max_tuples, tuples)
+        rc.unit = "main"
         out = evaluate(rc, trim(t.rules), t.signature)
         self.applied = rc.applied
         # A measure of a ray is an error of the whole query, found before any answer is given out.
@@ -161,7 +206,7 @@ class Prepared:
                 raise ExecutionError("MeasureOfRay")
         if names:
             out = out.toDF(*(c for n, ty in zip(names, t.signature, strict=True) for c in ([f"{n}_start", f"{n}_end"] if isinstance(ty, Interval) else [n])))
-        return out
+        return out, rc
 
     def _uses(self) -> Counter:
         """How many atoms read each source."""
@@ -240,4 +285,4 @@ def conform(df: DataFrame, r) -> DataFrame:
     return df.select(*cols)
 
 
-__all__ = ["Frames", "Instance", "Prepared", "closed_frame", "conform", "facts_frame"]
+__all__ = ["Analysis", "Frames", "Instance", "Step", "Prepared", "closed_frame", "conform", "facts_frame"]

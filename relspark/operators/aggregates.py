@@ -71,18 +71,24 @@ def evaluate(rc: RuleCompiler, rules: list[TypedRule], signature: list) -> DataF
         if df is not None:
             # Lone rules fold over whole bindings; the variables stay apart from the inputs.
             parts.append(head_inputs(rc, r, df, signature))
+            rc.step(f"rule {len(parts) - 1}: emitted", parts[-1])
             proven.append("distinct skipped" in rc.applied[before:] and _keeps_all(r))
     group = [c for i, f in enumerate(finds) if not isinstance(f, Agg) for c in find_columns(i, signature[i])]
     if not parts:
         return empty(rc, signature)
     df = reduce(lambda a, b: a.unionByName(b), parts)
     if not folds:
-        return df if proven == [True] else df.distinct()
+        df = df if proven == [True] else df.distinct()
+        rc.step("answers", df)
+        return df
     if len(parts) > 1 or len(rules) > 1:
         df = df.distinct()
+        rc.step("without repeats", df)
     i, f = folds[0]
     if f.op == "pack":
-        return pack(df.distinct(), group, f"c{i}_start", f"c{i}_end", rc.options.pack_width).select(*(c for k in range(len(finds)) for c in find_columns(k, signature[k])))
+        out = pack(df.distinct(), group, f"c{i}_start", f"c{i}_end", rc.options.pack_width).select(*(c for k in range(len(finds)) for c in find_columns(k, signature[k])))
+        rc.step("answers", out)
+        return out
     aggs = []
     for i, f in folds:
         if f.op == "count":
@@ -96,7 +102,9 @@ def evaluate(rc: RuleCompiler, rules: list[TypedRule], signature: list) -> DataF
         out = df.groupBy(*group).agg(*aggs)
     else:
         out = df.agg(*aggs, F.count(F.lit(1)).alias("rows_")).where("rows_ > 0").drop("rows_")
-    return out.select(*(c for k in range(len(finds)) for c in find_columns(k, signature[k])))
+    out = out.select(*(c for k in range(len(finds)) for c in find_columns(k, signature[k])))
+    rc.step("answers", out)
+    return out
 
 
 def _keeps_all(r: TypedRule) -> bool:

@@ -21,18 +21,20 @@ def fixpoint(rc: RuleCompiler, name: str, base: list, step: list, signature: lis
     before added, and keeps what is new.  The driver sees one count a round.
     ``tuples`` of the interiors count towards the budget.
     """
+    rc.unit = f"{name}, round 0"
     delta = materialize(evaluate(rc, base, signature), "reach")
     known, total, rounds = [delta], tuples + delta.count(), 0
     while True:
         if total > max_tuples or rounds > max_rounds:
             raise ExecutionError("DerivedBudgetExceeded", name, rounds=rounds, tuples=total)
-        rc.frames[name] = delta
+        rc.frames[name], rc.unit = delta, f"{name}, round {rounds + 1}"
         seen = reduce(lambda a, b: a.unionByName(b), known)
         if len(known) > 8:  # many small rounds: one table again
             seen = materialize(seen, "reach")
             known = [seen]
         delta = materialize(evaluate(rc, step, signature).join(seen, seen.columns, "left_anti"), "reach")
         new = delta.count()
+        rc.step("new", delta)
         if not new:
             rc.frames[name] = seen
             return seen

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relspark.functions.allen import AFTER, BEFORE, MEETS, MET_BY, allen, point_in, terms
 from relspark.functions.measure import measure
@@ -17,6 +18,10 @@ from relspark.plans.validate import TypedRule
 from relspark.types import Interval, U64, ray_end, spark_type, to_physical
 
 
+#: Parameter sets of more values are joined rather than listed in the plan.
+LARGE_SET = 1_000
+
+
 def columns_of(v: str, t) -> list[str]:
     return [f"v_{v}_s", f"v_{v}_e"] if isinstance(t, Interval) else [f"v_{v}"]
 
@@ -47,6 +52,13 @@ class RuleCompiler:
         self.counts, self.loose = counts or {}, loose
         self.applied: list[str] = []
         self.probes: list[DataFrame] = []
+        #: (unit, step, frame) of each step, if they are asked for.
+        self.steps: list[tuple[str, str, DataFrame]] | None = None
+        self.unit = "main"
+
+    def step(self, label: str, df: DataFrame) -> None:
+        if self.steps is not None:
+            self.steps.append((self.unit, label, df))
 
     # Frames of single atoms
 
@@ -90,7 +102,11 @@ class RuleCompiler:
                     outs.append(c.alias(f"v_{t.name}"))
             elif isinstance(t, ParamSet):
                 values = [to_physical(x, ft) for x in self.bound.values[t.name]]
-                conds.append(c.isin(values) if values else F.lit(False))
+                if len(values) > LARGE_SET:
+                    listed = df.sparkSession.createDataFrame([(x,) for x in values], T.StructType([T.StructField("listed_", spark_type(ft))]))
+                    df = df.join(listed, F.col(name) == F.col("listed_"), "left_semi")
+                else:
+                    conds.append(c.isin(values) if values else F.lit(False))
             else:
                 conds.append(c == lit(self.bound.scalar(t), ft))
         # A point variable that the same atom binds is a filter here.
@@ -247,6 +263,7 @@ class RuleCompiler:
             if not a.bindings or not own and not members:
                 frame = frame.limit(1).select(F.lit(1).alias(f"gate_{n}"))
                 df = frame if df is None else df.join(F.broadcast(frame), F.lit(True), "left_semi")
+                self.step(f"gate {a.source}", df)
                 continue
             new = set(own) - have
             waiting += members
@@ -259,6 +276,7 @@ class RuleCompiler:
                 df = reduce(lambda d, c: d.where(c), extra, frame)
                 df = df.distinct() if a is early else df
                 have |= set(own)
+                self.step(f"read {a.source}", df)
                 continue
             later = needed | {v for vs, _ in conds for v in vs} | {v for v, _, _ in waiting} | {t.name for x in atoms[n + 1 :] for _, t in x.bindings if isinstance(t, Var)}
             semi = o.semi_joins and not new & later and all(m in ready_m for m in members)
@@ -280,19 +298,23 @@ class RuleCompiler:
                 df = df.drop(*(f"r_{c}" for c in shared))
                 have |= set(own)
             df = df.drop(*(c for _, s, e in ready_m for c in (s, e) if c in df.columns))
+            self.step(f"{'semi join' if semi else 'join'} {a.source}", df)
         for a in rule.negated:
             frame, own, members = self.atom(a, types)
             if not a.bindings or not own and not members:
                 df = df.join(F.broadcast(frame.limit(1)), F.lit(True), "left_anti")
+                self.step(f"gate not {a.source}", df)
                 continue
             shared = [c for v in own for c in columns_of(v, types[v])]
             if not shared and len(members) == 1 and o.bucket_spans != "off":
                 df = self._without_hits(df, frame, members, types, origins)
                 self.applied.append(f"buckets not {a.source}")
+                self.step(f"without {a.source}", df)
                 continue
             right = frame.select(*(F.col(c).alias(f"r_{c}") for c in frame.columns))
             on = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"r_{c}") for c in shared] + [point_in(F.col(f"v_{v}"), F.col(f"r_{s}"), F.col(f"r_{e}")) for v, s, e in members], F.lit(True))
             df = df.join(right, on, "left_anti")
+            self.step(f"without {a.source}", df)
         cols = [c for v in types if v in have for c in columns_of(v, types[v])]
         df = df.select(*cols) if cols else df.select(F.lit(1).alias("gate"))
         for c in late:

@@ -179,6 +179,31 @@ def test_rewrites_apply(worlds):
     assert "fold Kind" in p.explain()
 
 
+def test_analysis(worlds):
+    """Rows of every step, by unit and round; rewrites, subsumed rules and the plan."""
+    state, at = worlds(3)
+    found = at.prepare(CASES["join"]).analyze()
+    assert [s.unit for s in found.steps] == ["main"] * len(found.steps) and found.steps[-1].step == "answers"
+    assert found.steps[-1].rows == len(naive.answers(CASES["join"].rules, state)) and all(s.estimate >= 0 for s in found.steps)
+    assert "Physical Plan" in found.plan and "main: read" in str(found)
+    found = at.prepare(CASES["union"]).analyze()
+    emitted = [s.rows for s in found.steps if "emitted" in s.step]
+    assert emitted == [len(naive.answers([r], state)) if k == 0 else emitted[k] for k, r in enumerate(CASES["union"].rules)] and found.steps[-1].rows == len(naive.answers(CASES["union"].rules, state)) <= sum(emitted)
+    assert "main: rule 1 subsumed" in at.prepare(CASES["subsumed"]).analyze().rewrites
+    state, at = worlds(6)
+    found = at.prepare(query(rule([V.a, V.b], atom("R", V.a, V.b)), rec=REACH)).analyze()
+    rounds = [s for s in found.steps if s.unit.startswith("R, round") and s.step == "new"]
+    base = next(s.rows for s in found.steps if s.unit == "R, round 0" and s.step == "answers")
+    assert base + sum(s.rows for s in rounds) == found.steps[-1].rows == len(naive.fixpoint(REACH[0], REACH[1], REACH[2], state))
+
+
+def test_large_param_set(worlds):
+    state, at = worlds(3)
+    q = query(rule([V.i, V.v], atom("A", id=S.ids, grp=V.i), atom("B", a=S.ids, val=V.v)))
+    for ids in (set(range(3)), set(range(3, 3000))):
+        assert at.prepare(q).collect(ids=ids) == naive.answers(q.rules, state, {"ids": ids})
+
+
 def test_measures(worlds, spark):
     state, at = worlds(5, rays=False)
     for q in (
