@@ -44,11 +44,13 @@ class Instance:
     Relations are sets.  Frames named in ``sets`` (all if None) hold no row
     twice; of others repeats are dropped where they would show, in bindings and
     scans, rather than by a shuffle of every relation that a query reads.
-    ``counts`` (optional) helps to order joins.
+    ``counts`` (optional) helps to order joins.  ``admitted`` says that the
+    frames were judged and keep the schema's statements, as a store's do; only
+    then do rewrites rely on keys and references.
     """
 
-    def __init__(self, spark: SparkSession, schema: Schema, frames: dict, counts: dict[str, int] | None = None, sets: set[str] | None = frozenset(), generation: int = 0):
-        self.spark, self.schema, self.counts, self.generation = spark, schema, counts or {}, generation
+    def __init__(self, spark: SparkSession, schema: Schema, frames: dict, counts: dict[str, int] | None = None, sets: set[str] | None = frozenset(), generation: int = 0, admitted: bool = False):
+        self.spark, self.schema, self.counts, self.generation, self.admitted = spark, schema, counts or {}, generation, admitted
         self.id = uuid.uuid4().hex
         self.loose = set() if sets is None else {r.name for r in schema.relations if not r.closed} - set(sets)
         self.frames = Frames()
@@ -178,7 +180,7 @@ class Prepared:
         if at.schema is not self.instance.schema:
             raise BindError("ForeignPreparedQuery")
         t = self.typed
-        rc = RuleCompiler(at.schema, at.frames.copy(), t.tables, self.bind(params), self.options, at.counts, at.loose)
+        rc = RuleCompiler(at.schema, at.frames.copy(), t.tables, self.bind(params), self.options, at.counts, at.loose, at.admitted)
         rc.steps = [] if steps else None
 
         def trim(rules):

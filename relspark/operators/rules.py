@@ -47,9 +47,9 @@ def _ends(name, t, fixed=False):
 class RuleCompiler:
     """Compiles rules over frames: relation columns by field name, derived columns ``c0``, ``c1``, ... (``_start``/``_end`` for intervals)."""
 
-    def __init__(self, schema, frames: dict[str, DataFrame], tables: dict[str, list], bound: Bound, options: Options, counts: dict[str, int] | None = None, loose: set[str] = frozenset()):
+    def __init__(self, schema, frames: dict[str, DataFrame], tables: dict[str, list], bound: Bound, options: Options, counts: dict[str, int] | None = None, loose: set[str] = frozenset(), admitted: bool = False):
         self.schema, self.frames, self.tables, self.bound, self.options = schema, frames, tables, bound, options
-        self.counts, self.loose = counts or {}, loose
+        self.counts, self.loose, self.admitted = counts or {}, loose, admitted
         self.applied: list[str] = []
         self.probes: list[DataFrame] = []
         #: (unit, step, frame) of each step, if they are asked for.
@@ -239,7 +239,7 @@ class RuleCompiler:
         keep = set(r.types) if any(isinstance(f, Agg) for f in r.rule.finds) else set()
         if o.fold_closed:
             r, sets = fold_closed(r, self.schema, self.applied)
-        if o.drop_references:
+        if o.drop_references and self.admitted:
             r = drop_references(r, self.schema, self.applied)
         types, rule = r.types, r.rule
         heads = {(f.over if isinstance(f, Agg) else f) for f in rule.finds} - {None}
@@ -253,7 +253,7 @@ class RuleCompiler:
         atoms = self._order(list(rule.atoms), types)
         df, have, waiting = None, set(), []
         origins: dict[str, DataFrame] = {}
-        proven = o.skip_distinct and distinct_proven(r, self.schema, self.loose)
+        proven = o.skip_distinct and distinct_proven(r, self.schema, self.loose, self.admitted)
         early = None if proven else self._early(r, atoms, sets)
         for n, a in enumerate(atoms):
             frame, own, members = self.atom(a, types)
@@ -335,7 +335,7 @@ class RuleCompiler:
         if not self.options.skip_distinct or not any(isinstance(f, Agg) for f in r.rule.finds) or r.rule.negated or len(atoms) < 2:
             return None
         alone = [(a, replace(r, rule=replace(r.rule, atoms=(a,)))) for a in atoms if a.bindings]
-        open_ = [a for a, one in alone if not distinct_proven(one, self.schema, self.loose)]
+        open_ = [a for a, one in alone if not distinct_proven(one, self.schema, self.loose, self.admitted)]
         if len(open_) != 1:
             return None
         (a,) = open_

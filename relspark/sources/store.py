@@ -257,7 +257,7 @@ class Store:
 
     def snapshot(self) -> Instance:
         """This handle's generation; later writes don't change it."""
-        return Instance(self.spark, self.schema, {n: self._frame(n, steps) for n, steps in self.meta["folders"].items()}, sets=None, generation=self.meta["generation"])
+        return Instance(self.spark, self.schema, {n: self._frame(n, steps) for n, steps in self.meta["folders"].items()}, sets=None, generation=self.meta["generation"], admitted=True)
 
     def reserve(self, name: str, n: int = 1) -> range:
         """Fresh ids; the mark is saved at once, so that no id is given out again even if the write is dropped."""

@@ -4,7 +4,9 @@ import os
 
 import pytest
 
+from relspark.operators.constraints import violations
 from relspark.queries import ORACLES, QUERIES
+from relspark.sources.tables import load
 
 TABLES = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
@@ -21,6 +23,11 @@ def oracle():
     return c
 
 
+def test_tables_keep_their_statements(spark):
+    at = load(spark, TABLES)
+    assert at.admitted and violations(at.frames, at.schema, loose=at.loose).isEmpty()
+
+
 def test_every_query_has_sql():
     assert QUERIES.keys() == ORACLES.keys()
 
