@@ -137,3 +137,7 @@ def test_classifiers_without_labels(spark):
     assert {r.doc_id: r.predicted for r in out.collect()} == {1: 1, 2: 0}
     assert {r.score for r in quality_classifier.quality_classifier(few, labels.limit(0), F.lit(False)).collect()} == {0.5}
     assert toxicity.toxicity(docs.limit(0), labels, F.lit(False)).isEmpty()
+    assert quality_classifier.quality_classifier(docs.limit(0), labels, F.lit(False)).isEmpty()
+    nulls = spark.createDataFrame([(None, "some text"), (None, None), (4, ""), (4, "")], "doc_id long, text string")
+    got = quality_classifier.quality_classifier(nulls, labels, F.lit(False)).collect()
+    assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)

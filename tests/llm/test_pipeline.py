@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from relspark.llm import quality_rules
 from tests.llm.test_text_operators import ALNUM, AZ, brute_components
@@ -80,3 +82,29 @@ def test_empty(spark, tmp_path):
     spark.read.parquet(f"{folder}/full/documents.parquet").limit(0).write.parquet(f"{folder}/documents.parquet")
     spark.read.parquet(f"{folder}/full/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     assert corpus_pipeline.run(spark, folder).isEmpty()
+
+
+def test_stages_on_hard_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, equal ids of other texts, and extra columns named as the stages name theirs."""
+    folder = f"file://{tmp_path}"
+    make(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = [(None, None, None, None, None), (None, "", None, None, 0), (None, "", None, None, 0), (3, "", "xx", None, 0), (3, None, "en", "s1", None), (9, "another text under an id that is there already " * 3, None, None, 1)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    extra = ["doc", "row_key", "kept", "stays", "live", "clean", "contaminated", "n_words", "size", "taken", "target", "t_", "id_"]
+    wide = docs.select("*", *(F.concat(F.lit(c), F.coalesce(F.col("source"), F.lit("-"))).alias(c) for c in extra)).cache()
+    before = wide.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, folder).cache()
+        assert out.columns == wide.columns and 0 < out.count() <= before, name
+        assert out.where(" OR ".join(f"{c} <> concat('{c}', coalesce(source, '-'))" for c in extra)).isEmpty(), name
+        assert stage(spark, wide.limit(0), folder).isEmpty(), name
+    rejected = corpus_pipeline.quality_stage(spark, wide, folder)
+    assert rejected.where("text IS NULL OR text = ''").isEmpty()
+    once = corpus_pipeline.dedup_stage(spark, wide, folder)
+    assert once.groupBy("doc_id", "text").count().where("count > 1").isEmpty()
+    assert once.select("doc_id", "text").distinct().where("text IS NULL OR text = ''").count() == 5  # linked with nothing: (100, null) and those of more, repeats once
+    safe = corpus_pipeline.secrets_stage(spark, wide, folder)
+    assert safe.count() == before and safe.where("text IS NULL").count() == wide.where("text IS NULL").count()
+    mix = corpus_pipeline.mixing_stage(spark, docs, folder)
+    assert mix.count() == before and mix.where("size = 0 AND taken > 0").isEmpty()
