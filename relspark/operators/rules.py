@@ -255,6 +255,9 @@ class RuleCompiler:
         origins: dict[str, DataFrame] = {}
         proven = o.skip_distinct and distinct_proven(r, self.schema, self.loose, self.admitted)
         early = None if proven else self._early(r, atoms, sets)
+        whole = o.skip_distinct and not proven and early is None and self._whole(r)
+        single = False  # whether the bindings so far hold nothing twice, since a join by buckets
+        loose = {a for a, one in self._alone(r, atoms) if not distinct_proven(one, self.schema, self.loose, self.admitted)} if whole else set()
         for n, a in enumerate(atoms):
             frame, own, members = self.atom(a, types)
             members = [(v, f"k{n}_{s}", f"k{n}_{e}") for v, s, e in members]
@@ -286,6 +289,13 @@ class RuleCompiler:
             on = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"r_{c}") for c in shared] + extra, F.lit(True))
             keyed = bool(shared) or any(isinstance(c, Compare) and c.op == "==" for c in ready)
             sides = self._sides([(c, types) for c in ready], ready_m, have, set(own), df, right, origins) if o.bucket_spans == "all" or o.bucket_spans == "keyless" and not keyed else None
+            if sides and whole and not single:
+                single, before = True, [x for x in atoms[:n] if x in loose]
+                df = df.distinct() if before else df
+                self.applied += [f"distinct before joins {x.source}" for x in before]
+            if single and a in loose and (sides or not semi):
+                right = right.distinct()
+                self.applied.append(f"distinct before joins {a.source}")
             if sides:
                 semi = False
                 df = overlap_join(df, right, *sides, on)
@@ -321,7 +331,7 @@ class RuleCompiler:
             pred = self.condition(c, types)
             self.probes.append(df.where(pred.isNull()))
             df = df.where(pred)
-        if proven:
+        if proven or single:
             self.applied.append("distinct skipped")
             return df
         if early is not None:
@@ -330,20 +340,30 @@ class RuleCompiler:
         aggregated = any(isinstance(f, Agg) for f in rule.finds)
         return df.distinct() if aggregated else df
 
+    def _alone(self, r: TypedRule, atoms) -> list:
+        """Atoms that bind something, each with the rule that has it alone."""
+        return [(a, replace(r, rule=replace(r.rule, atoms=(a,)))) for a in atoms if a.bindings]
+
+    def _points(self, r: TypedRule, atoms) -> bool:
+        """Whether a point is looked up in an interval that no variable holds."""
+        return any(isinstance(t, Var) and not isinstance(r.types[t.name], Interval) and isinstance(self._field(x.source, f)[1], Interval) for x in atoms for f, t in x.bindings)
+
+    def _whole(self, r: TypedRule) -> bool:
+        """Whether answers hold all that the atoms bind: joins of frames without repeats then make no repeats, and answers, that may be far more rows, need not be made distinct."""
+        return not any(isinstance(f, Agg) for f in r.rule.finds) and set(r.types) <= {f.name for f in r.rule.finds if isinstance(f, Var)} and not self._points(r, r.rule.atoms)
+
     def _early(self, r: TypedRule, atoms, sets):
         """The atom whose repeats alone can make a fold's bindings repeat, if nothing outside it thins its rows before they are made distinct."""
         if not self.options.skip_distinct or not any(isinstance(f, Agg) for f in r.rule.finds) or r.rule.negated or len(atoms) < 2:
             return None
-        alone = [(a, replace(r, rule=replace(r.rule, atoms=(a,)))) for a in atoms if a.bindings]
-        open_ = [a for a, one in alone if not distinct_proven(one, self.schema, self.loose, self.admitted)]
+        open_ = [a for a, one in self._alone(r, atoms) if not distinct_proven(one, self.schema, self.loose, self.admitted)]
         if len(open_) != 1:
             return None
         (a,) = open_
         names = {t.name for _, t in a.bindings if isinstance(t, Var)}
         outside = any(not isinstance(t, Var) for x in atoms if x is not a for _, t in x.bindings)
         filtered = any(not condition_vars(c) <= names for c in conjuncts(r.rule)) or any(s.var not in names for s in sets)
-        points = any(isinstance(t, Var) and not isinstance(r.types[t.name], Interval) and isinstance(self._field(x.source, f)[1], Interval) for x in atoms for f, t in x.bindings)
-        return None if outside or filtered or points else a
+        return None if outside or filtered or self._points(r, atoms) else a
 
     def may_be_ray(self, t) -> bool:
         return t.width is None
